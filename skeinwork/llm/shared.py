@@ -75,6 +75,8 @@ def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array and its n+1 offsets into them; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if pa.types.is_null(col.type):
+        return np.zeros(0, np.uint8), np.zeros(len(col) + 1, np.int64)
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, offsets, data = col.buffers()
     if len(col) == 0 or offsets is None:
