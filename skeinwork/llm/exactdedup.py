@@ -15,10 +15,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name, new_path, row_order
+from .shared import cut, new_path, without
 
 
 class DigestIndex:
@@ -62,18 +62,8 @@ def duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
 
 def deduplicated(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds a batch; returns the rows of it that stay, with all their columns."""
-    found = cut(ingest(docs, index, id_col, text_col), "digest-decisions")
-    d, i, k = free_name(docs, "digest_"), free_name(docs, "gone_id"), free_name(docs, "rank_")
-    wide = docs.withColumn(d, F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)))
-    key = lambda rows: rows.select(F.col("digest").alias(free_name(wide, "of_digest")), F.col("doc_id").alias(i))
-    on = [F.col(f"`{d}`") == F.col(free_name(wide, "of_digest")), F.col(f"`{id_col}`").eqNullSafe(F.col(i))]
-    out = wide.join(key(found.where("NOT is_new")), on, "left_anti")
-    again = key(found.where("is_new AND n > 1"))
-    if not again.isEmpty():
-        w = Window.partitionBy(d, id_col).orderBy(*row_order(docs))
-        first = out.join(again, on, "left_semi").withColumn(k, F.row_number().over(w)).where(F.col(k) == 1).drop(k)
-        out = out.join(again, on, "left_anti").unionByName(first)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = cut(ingest(docs, index, id_col, text_col), "digest-decisions").withColumnRenamed("digest", "key")
+    return without(docs, id_col, F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)), found.where("NOT is_new"), found.where("is_new AND n > 1"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

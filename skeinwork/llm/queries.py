@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, langid
+from . import exactdedup, langid, simhash
 
-QUERIES = {"op5_language_id": langid.op5_language_id, "op9_exact_dedup": exactdedup.op9_exact_dedup}
+QUERIES = {"op5_language_id": langid.op5_language_id, "op8_simhash_forest": simhash.op8_simhash_forest, "op9_exact_dedup": exactdedup.op9_exact_dedup}
 ORACLE_SQL = {"op9_exact_dedup": exactdedup.SQL}

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes that one vectorised step handles at a time (a longer text is handled alone).
@@ -71,6 +71,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(docs: DataFrame, id_col: str, key: Column, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """docs without the rows whose (id, key) is in gone (doc_id, key), and with one row only of those in again (doc_id, key). Null keys stay. Both tables should be cut: the optimizer then knows their sizes, and broadcasts a side only below its threshold."""
+    k, gid, gkey, rank = (free_name(docs, x) for x in ("key_", "gone_id", "gone_key", "rank_"))
+    wide = docs.withColumn(k, key)
+    named = lambda rows: rows.select(F.col("doc_id").alias(gid), F.col("key").alias(gkey))
+    on = [F.col(k) == F.col(gkey), F.col(f"`{id_col}`").eqNullSafe(F.col(gid))]
+    out = wide.join(named(gone), on, "left_anti")
+    if not again.isEmpty():
+        w = Window.partitionBy(k, f"`{id_col}`").orderBy(*row_order(docs))
+        first = out.join(named(again), on, "left_semi").withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+        out = out.join(named(again), on, "left_anti").unionByName(first)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array and its n+1 offsets into them; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):
