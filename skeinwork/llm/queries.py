@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, langid, simhash
+from . import exactdedup, langid, packing, simhash
 
-QUERIES = {"op5_language_id": langid.op5_language_id, "op8_simhash_forest": simhash.op8_simhash_forest, "op9_exact_dedup": exactdedup.op9_exact_dedup}
+QUERIES = {"op2_best_fit_packing": packing.op2_best_fit_packing, "op5_language_id": langid.op5_language_id, "op8_simhash_forest": simhash.op8_simhash_forest, "op9_exact_dedup": exactdedup.op9_exact_dedup}
 ORACLE_SQL = {"op9_exact_dedup": exactdedup.SQL}
