@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import exactdedup, langid, packing, simhash
+from . import bpe, exactdedup, langid, packing, simhash, tokenfile
 
-QUERIES = {"op2_best_fit_packing": packing.op2_best_fit_packing, "op5_language_id": langid.op5_language_id, "op8_simhash_forest": simhash.op8_simhash_forest, "op9_exact_dedup": exactdedup.op9_exact_dedup}
+QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_language_id": langid.op5_language_id,
+    "op8_simhash_forest": simhash.op8_simhash_forest,
+    "op9_exact_dedup": exactdedup.op9_exact_dedup,
+    "op10_token_output": tokenfile.op10_token_output,
+}
 ORACLE_SQL = {"op9_exact_dedup": exactdedup.SQL}
