@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exactdedup, langid, packing, simhash, tokenfile, urlfilter
+from . import bpe, chat, exactdedup, langid, packing, simhash, tokenfile, urlfilter, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_warc_writer": warc.op3_warc_writer,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_language_id": langid.op5_language_id,
     "op6_chat_format": chat.op6_chat_format,
