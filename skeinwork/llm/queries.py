@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exactdedup, langid, packing, simhash, tokenfile, urlfilter, warc
+from . import ann, bpe, chat, exactdedup, langid, packing, simhash, tokenfile, urlfilter, warc
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_warc_writer": warc.op3_warc_writer,
     "op4_byte_bpe": bpe.op4_byte_bpe,
