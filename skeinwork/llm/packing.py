@@ -27,17 +27,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, raw_bytes, slices
+from .textvec import runs
 
 #: Words that a bin holds.
 CAPACITY = 2048
 _PIECE_BITS = 23
+IS_WORD = np.ones(256, bool)
+IS_WORD[[*range(9, 14), 32]] = False
 
 
 def word_count(text: Column) -> Column:
-    """Runs of characters that aren't white space."""
-    bare = F.btrim(text, F.lit(" \t\n\r\f\x0b"))
-    return F.when(F.coalesce(F.length(bare), F.lit(0)) == 0, 0).otherwise(F.size(F.split(bare, "[ \t\n\r\f\x0b]+"))).cast("long")
+    """Runs of characters that aren't white space (of ASCII)."""
+
+    @F.arrow_udf("bigint")
+    def count(col: pa.Array) -> pa.Array:
+        out = []
+        for i, j in slices(col):
+            data, off = raw_bytes(col[i:j])
+            start, _ = runs(IS_WORD[data], off)
+            out.append(np.diff(np.searchsorted(start, off)))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+    return count(text)
 
 
 def _sweep(batches):
@@ -135,7 +147,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     """Rows (bin_id, doc_id, piece, start, length, place): a piece of a document, its first word in it, its words, and where it begins in its bin. length gives a document's length, if it isn't to be its words."""
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (word_count(F.col(f"`{text_col}`")) if length is None else F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0))).alias("words"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
-    own = own.withColumn("size", F.col("words") % capacity)
+    own = cut(own.withColumn("size", F.col("words") % capacity), "lengths")
     order = [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("key"), F.col("words")]
     rows = cut(own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "items")
     rows = rows.withColumn("part", F.shiftright("m", 33))
