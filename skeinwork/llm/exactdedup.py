@@ -63,7 +63,7 @@ def duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text
 def deduplicated(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds a batch; returns the rows of it that stay, with all their columns."""
     found = cut(ingest(docs, index, id_col, text_col), "digest-decisions").withColumnRenamed("digest", "key")
-    return without(docs, id_col, F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)), found.where("NOT is_new"), found.where("is_new AND n > 1"))
+    return without(docs, id_col, F.unhex(F.sha2(F.col(f"`{text_col}`"), 256)), found.where("NOT is_new OR n > 1").select("doc_id", "key", (~F.col("is_new")).alias("gone")))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textvec import mix
+
 #: UTF-8 bytes that one vectorised step handles at a time (a longer text is handled alone).
 SLICE_BYTES = 1 << 20
+#: Bits of a Bloom filter, at most (32 MB).
+BLOOM_BITS = 1 << 28
 _made: list[tuple] = []
 
 
@@ -71,18 +76,50 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, id_col: str, key: Column, gone: DataFrame, again: DataFrame) -> DataFrame:
-    """docs without the rows whose (id, key) is in gone (doc_id, key), and with one row only of those in again (doc_id, key). Null keys stay. Both tables should be cut: the optimizer then knows their sizes, and broadcasts a side only below its threshold."""
-    k, gid, gkey, rank = (free_name(docs, x) for x in ("key_", "gone_id", "gone_key", "rank_"))
+def bloom(keys: DataFrame, n: int):
+    """A column function that is true for every long in keys (key), and for few others: a Bloom filter of BLOOM_BITS at most. Beyond that size it lets more through, never less."""
+    bits = min(BLOOM_BITS, 1 << max(10, math.ceil(math.log2(10 * max(n, 1)))))
+    seeds = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+
+    def words_of(batches):
+        for batch in batches:
+            key = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([mix(key ^ s) & np.uint64(bits - 1) for s in seeds]))
+            word = (at >> np.uint64(6)).astype(np.int64)
+            mask = np.uint64(1) << (at & np.uint64(63))
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else word
+            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(mask, first).view(np.int64) if len(word) else word)], names=["word", "mask"])
+
+    table = np.zeros(bits >> 6, np.uint64)
+    found = keys.mapInArrow(words_of, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def may_hold(col: pa.Array) -> pa.Array:
+        key = col.to_numpy(zero_copy_only=False).view(np.uint64)
+        hit = np.ones(len(key), bool)
+        for s in seeds:
+            at = mix(key ^ s) & np.uint64(bits - 1)
+            hit &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return pa.array(hit)
+
+    return may_hold
+
+
+def without(docs: DataFrame, id_col: str, key: Column, decided: DataFrame) -> DataFrame:
+    """docs without the rows whose (id, key) is gone in decided (doc_id, key, gone), and with one row only of those that are there but not gone. Null keys stay. decided should be cut: the optimizer then knows its size. Rows whose key isn't in a Bloom filter of its keys stay where they are; only the others are shuffled."""
+    k, gid, gkey, gone, rank = (free_name(docs, x) for x in ("key_", "gone_id", "gone_key", "gone_", "rank_"))
+    keys = decided.select(F.xxhash64("key").alias("key"))
+    may_be = bloom(keys, keys.count())
     wide = docs.withColumn(k, key)
-    named = lambda rows: rows.select(F.col("doc_id").alias(gid), F.col("key").alias(gkey))
-    on = [F.col(k) == F.col(gkey), F.col(f"`{id_col}`").eqNullSafe(F.col(gid))]
-    out = wide.join(named(gone), on, "left_anti")
-    if not again.isEmpty():
-        w = Window.partitionBy(k, f"`{id_col}`").orderBy(*row_order(docs))
-        first = out.join(named(again), on, "left_semi").withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
-        out = out.join(named(again), on, "left_anti").unionByName(first)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = decided.select(F.col("doc_id").alias(gid), F.col("key").alias(gkey), F.col("gone").alias(gone))
+    met = F.col(k).isNotNull() & may_be(F.xxhash64(k))
+    w = Window.partitionBy(k, f"`{id_col}`").orderBy(*row_order(docs))
+    some = wide.where(met).join(named, [F.col(k) == F.col(gkey), F.col(f"`{id_col}`").eqNullSafe(F.col(gid))], "left")
+    some = some.withColumn(rank, F.row_number().over(w)).where(F.col(gone).isNull() | (~F.col(gone) & (F.col(rank) == 1)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return wide.where(~met).select(*columns).unionByName(some.select(*columns))
 
 
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

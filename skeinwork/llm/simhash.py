@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import binary_array, cut, raw_bytes, slices, without
+from .shared import binary_array, bloom, cut, raw_bytes, slices, without
 from .textvec import mix, span_hash, words
 
 BITS = 128
@@ -41,8 +41,6 @@ LEAF = 256
 SUBTREE = 4
 #: Word triples that two near copies share, as Jaccard similarity.
 SIMILARITY = 0.5
-#: Bits of the filter of texts that are verified, at most (32 MB).
-BLOOM_BITS = 1 << 28
 _LANES = np.uint64(0x0101010101010101)
 _ORDERS = [np.random.default_rng(1000 + t).permutation(BITS) for t in range(512)]
 
@@ -198,37 +196,6 @@ def candidate_edges(nodes: DataFrame, n: int, radius: int = RADIUS, leaf: int =
     return planted.repartition("part").sortWithinPartitions("part", "label").mapInArrow(search, "a binary, b binary").distinct()
 
 
-def _bloom(keys: DataFrame, n: int):
-    """A column function that is true for every long in keys (key), and for few others: a Bloom filter of BLOOM_BITS at most. Beyond that size it lets more through, never less."""
-    bits = min(BLOOM_BITS, 1 << max(10, math.ceil(math.log2(10 * max(n, 1)))))
-    seeds = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
-
-    def words_of(batches):
-        for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate([mix(key ^ s) & np.uint64(bits - 1) for s in seeds]))
-            word = (at >> np.uint64(6)).astype(np.int64)
-            mask = np.uint64(1) << (at & np.uint64(63))
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else word
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(np.bitwise_or.reduceat(mask, first).view(np.int64) if len(word) else word)], names=["word", "mask"])
-
-    table = np.zeros(bits >> 6, np.uint64)
-    found = keys.mapInArrow(words_of, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def may_hold(col: pa.Array) -> pa.Array:
-        key = col.to_numpy(zero_copy_only=False).view(np.uint64)
-        hit = np.ones(len(key), bool)
-        for s in seeds:
-            at = mix(key ^ s) & np.uint64(bits - 1)
-            hit &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return pa.array(hit)
-
-    return may_hold
-
-
 def _verify(edges: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, repeats: bool) -> DataFrame:
     """The edges whose ends' texts are similar; docs (doc_id, text, key), repeats whether some of its rows agree in id and text."""
 
@@ -252,7 +219,7 @@ def _verify(edges: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
     ends = edges.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", "rep"), "f").select("f", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
     ends = cut(ends, "ends")
     # most texts have no near copy: they needn't be shuffled
-    texts = docs.where(_bloom(ends.select("rep_key"), ends.count())(F.col("key"))).join(ends, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("f", "text")
+    texts = docs.where(bloom(ends.select("rep_key"), ends.count())(F.col("key"))).join(ends, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("f", "text")
     known = texts.mapInArrow(sets, "f binary, s binary")
     known = cut(known.dropDuplicates(["f"]) if repeats else known, "shingles")
     at = lambda k: known.select(F.col("f").alias(k), F.col("s").alias("s" + k))
@@ -292,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs, with all its columns, less the near copies of rows that stay."""
     found = cut(decide(docs, id_col, text_col, similarity), "near-decisions")
-    return without(docs, id_col, F.xxhash64(F.col(f"`{text_col}`")), found.where("NOT is_kept"), found.where("is_kept AND n > 1"))
+    return without(docs, id_col, F.when(F.col(f"`{text_col}`").isNotNull(), F.xxhash64(F.col(f"`{text_col}`"))), found.where("NOT is_kept OR n > 1").select("doc_id", "key", (~F.col("is_kept")).alias("gone")))
 
 
 def op8_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
