@@ -27,7 +27,10 @@ FULL = "concat('docs/full/note_', cast(doc_id as string), '.md')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, spread over all cores if it lies in fewer splits than there are cores. Large tables have more, and aren't shuffled."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
