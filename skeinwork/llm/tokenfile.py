@@ -79,10 +79,11 @@ def rank_table(rows: DataFrame, kind: type = np.uint16, ids_col: str = "ids") ->
 
 
 def _order(ranks: DataFrame) -> np.ndarray:
-    """Ids by rank."""
+    """Ids by rank; -1 where the table lacks a rank."""
     found = ranks.select("id", "rank").toArrow()
-    out = np.zeros(len(found), np.int64)
-    out[found["rank"].to_numpy()] = found["id"].to_numpy()
+    rank = found["rank"].to_numpy()
+    out = np.full(int(rank.max()) + 1 if len(rank) else 0, -1, np.int64)
+    out[rank] = found["id"].to_numpy()
     return out
 
 
@@ -90,7 +91,7 @@ def write(rows: DataFrame, ranks: DataFrame, kind: type = np.uint16, id_col: str
     """rows with packed ids to (doc_id, n_tokens, control, data)."""
     order = _order(ranks)
     rank = np.full(int(order.max()) + 1 if len(order) else 1, -1, np.int64)
-    rank[order] = np.arange(len(order))
+    rank[order[order >= 0]] = np.flatnonzero(order >= 0)
     shared = rows.sparkSession.sparkContext.broadcast(rank)  # no longer than a vocabulary
     own = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids"))
 
