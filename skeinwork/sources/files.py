@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown as M
+from ..functions import pdf as P
 from ..functions import text as X
-from ..operators.chunking import estimate
+from ..operators.chunking import counted, estimate
 from . import docx, html, pdf
 
 #: Extensions and formats.
@@ -44,15 +45,29 @@ def _html(data: bytes, stem: str) -> dict:
     return html.convert(data.decode("utf-8", "replace"), stem, estimate)
 
 
-def _pdf(data: bytes, stem: str, engine: str = "fast") -> dict:
-    found = pdf.convert(data, stem, engine)
-    return {k: v for k, v in found.items() if k != "plain"}
+def _pdf(name: str) -> Converter:
+    """A converter with the engine of that name, which is looked up here, on the driver. Extraction may give Markdown that is worse than the plain text; then that is used."""
+    run = pdf.engine(name)
+
+    def convert(data: bytes, stem: str) -> dict:
+        found = pdf.convert(data, stem, run, name != "scientific")
+        plain = found.pop("plain")
+        if name != "scientific" and pdf.prefer_plain(found["content"], plain, estimate):
+            content = P.plain_to_markdown(plain)
+            found |= {"content": content, "tables": 0, "headings": [x for x in content.split("\n") if x.startswith("#")]}
+        return found
+
+    return convert
+
+
+def default_pdf(data: bytes, stem: str) -> dict:
+    return _pdf("fast")(data, stem)
 
 
 for _x in (".html", ".htm"):
     register(_x, _html)
 register(".docx", docx.convert)
-register(".pdf", _pdf)
+register(".pdf", default_pdf)
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,14 +94,16 @@ def output_paths(files: DataFrame) -> DataFrame:
     return files.withColumn("out_rel", F.concat(stem, F.when(shared > 1, F.concat(F.lit("_"), extension)).otherwise(F.lit("")), F.lit(".md")))
 
 
-def documents(files: DataFrame, counter: Column | None = None, encoding: str = X.ESTIMATE) -> DataFrame:
-    """files (original_source, extension, stem, data) to documents. Text and Markdown are converted by column functions, other formats by their converters; a file that fails fails the query."""
+def documents(files: DataFrame, count=estimate, encoding: str = X.ESTIMATE, pdf_engine: str = "fast") -> DataFrame:
+    """files (original_source, extension, stem, data) to documents. count gives a text's tokens, encoding is its name. Text and Markdown are converted by column functions, other formats by their converters; a file that fails fails the query."""
     placed = output_paths(files)
     raw = F.regexp_replace(F.decode("data", "UTF-8"), "^﻿", "")
     native = F.when(F.col("extension") == ".txt", M.text_document(raw, F.col("stem"))).otherwise(M.markdown_document(raw, F.col("stem")))
     text_like = F.col("extension").isin(".txt", ".md", ".markdown") & ~F.col("extension").isin(list(CONVERTERS))
 
     registered = dict(CONVERTERS)
+    if registered[".pdf"] is default_pdf:
+        registered[".pdf"] = _pdf(pdf_engine)
 
     @F.arrow_udf(DOCUMENT)
     def run(extension: pa.Array, stem: pa.Array, data: pa.Array) -> pa.Array:
@@ -97,4 +114,4 @@ def documents(files: DataFrame, counter: Column | None = None, encoding: str = X
     b = placed.where(~text_like).select("original_source", "out_rel", "extension", run("extension", "stem", "data").alias("d")).select("original_source", "out_rel", "extension", "d.*")
     both = a.unionByName(b)
     formats = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
-    return both.select("original_source", F.concat(F.lit("docs/full/"), "out_rel").alias("full_path"), formats[F.col("extension")].alias("format"), "title", "pages", "headings", "tables", "images", (X.estimate_tokens(F.col("content")) if counter is None else counter).alias("tokens_estimate"), F.lit(encoding).alias("encoding"), "content")
+    return both.select("original_source", F.concat(F.lit("docs/full/"), "out_rel").alias("full_path"), formats[F.col("extension")].alias("format"), "title", "pages", "headings", "tables", "images", counted(F.col("content"), count).alias("tokens_estimate"), F.lit(encoding).alias("encoding"), "content")
