@@ -87,8 +87,8 @@ def fallback_samples(chunk_headings: Column, limit: int = 4) -> Column:
     return F.slice(F.array_distinct(clean), 1, limit)
 
 
-ATX = r"(?md)^#{1,6}\s+(.+)$"
-SETEXT = r"(?md)^(.+)\n([=-]{2,})\s*$"
+ATX = r"(?md)^#{1,6}(?:\s+)(.+)$"
+SETEXT = r"(?md)^(.+)\n([-=]{2,})\s*$"
 
 
 def chunk_heading(chunk: Column, fallback: Column) -> Column:

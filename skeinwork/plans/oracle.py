@@ -94,18 +94,18 @@ def plain_heading(x: str) -> str:
 
 
 SQL["headings_extracted"] = f"WITH {NOTES} SELECT doc_id, pos::INT AS pos, heading FROM ({unnested(headings('content'), 'heading', 'notes', 'doc_id')})"
-TABLES = r"len(regexp_extract_all({x}, '(?m)(?:^\|.+\|$\n?){{2,}}'))"
+TABLES = r"len(regexp_extract_all({x}, '(?m)(?:^[|].+[|]$\n?){{2,}}'))"
 IMAGES = r"len(regexp_extract_all({x}, '!\[[^\]]*\]\([^)]+\)'))"
-BARE = r"regexp_replace(regexp_replace({x}, '\{{\{{#[\p{{L}}\p{{N}}_]+[^}}]*\}}\}}', '', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+BARE = r"regexp_replace(regexp_replace({x}, '\{{\{{#[\p{{L}}\p{{N}}_]+[^}}]*\}}\}}', '', 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
 SQL["markdown_counts"] = f"WITH {NOTES} SELECT doc_id, {TABLES.format(x='content')}::INT AS tables, {IMAGES.format(x='content')}::INT AS images, length({BARE.format(x=chr(39) + '{{#include a.md}}<b>x</b>' + chr(39) + ' || content')})::INT AS bare_length FROM notes"
 SQL["quote_normalised"] = """SELECT doc_id, translate('“' || translate(text[1:200], 'aeio', '‘’“”') || '”', '‘’“”', chr(39) || chr(39) || '""') AS text FROM documents"""
 FRONTED = "'---' || chr(10) || 'title: Note' || chr(10) || 'k: ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || content"
-SQL["frontmatter_body"] = rf"WITH {NOTES} SELECT doc_id, regexp_extract({FRONTED}, '(?s)\A---\n(.*?)\n---\n\n?', 1) AS front, md5(regexp_replace({FRONTED}, '(?s)\A---\n(.*?)\n---\n\n?', '')) AS body FROM notes"
+SQL["frontmatter_body"] = rf"WITH {NOTES} SELECT doc_id, regexp_extract({FRONTED}, '(?s)\A[-][-][-]\n(.*?)\n[-][-][-]\n\n?', 1) AS front, md5(regexp_replace({FRONTED}, '(?s)\A[-][-][-]\n(.*?)\n[-][-][-]\n\n?', '')) AS body FROM notes"
 MARKED = "'About' || chr(10) || '*** START OF THE BOOK ***' || chr(10) || text || chr(10) || '*** End of the book' || chr(10) || 'after'"
 INSIDE = strip("text")  # the markers stand at both ends
 SQL["gutenberg_strip"] = f"SELECT doc_id, md5({INSIDE}) AS text FROM documents"
 SQL["text_convert"] = f"SELECT doc_id, 'note_' || doc_id AS title, md5('# note_' || doc_id || chr(10) || chr(10) || {INSIDE}) AS content, 0 AS tables, 0 AS images FROM documents"
-CONVERTED = BARE.format(x="regexp_replace(" + strip(FRONTED) + r", '(?s)\A---\n(.*?)\n---\n\n?', '')")
+CONVERTED = BARE.format(x="regexp_replace(" + strip(FRONTED) + r", '(?s)\A[-][-][-]\n(.*?)\n[-][-][-]\n\n?', '')")
 SQL["markdown_convert"] = f"""WITH {NOTES}, c AS (SELECT doc_id, {CONVERTED} AS content FROM notes), h AS (SELECT *, {headings('content')} AS hs FROM c)
 SELECT doc_id, {plain_heading('hs[1]')} AS title, md5(content) AS content, array_to_string(hs, '|') AS headings, {TABLES.format(x='content')}::INT AS tables, {IMAGES.format(x='content')}::INT AS images FROM h"""
 SQL["text_helpers"] = f"""WITH {NOTES}, h AS (SELECT *, {headings('content')} AS hs FROM notes)
@@ -128,7 +128,7 @@ SQL["repeated_lines"] = f"WITH {REPEATED} SELECT doc, line FROM gone"
 SQL["lines_stripped"] = f"""WITH {REPEATED}, each AS (SELECT doc, page, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS raw FROM pages_)
 SELECT p.doc, p.page, md5(coalesce(string_agg(raw, chr(10) ORDER BY k), '')) AS text FROM pages_ p
 LEFT JOIN (SELECT * FROM each e WHERE NOT EXISTS (FROM gone g WHERE g.doc = e.doc AND g.line = {strip('e.raw')})) e ON e.doc = p.doc AND e.page = p.page GROUP BY ALL"""
-NUMBERED, NAMED = r"\d+(?:\.\d+)*\.?\s+[A-Z].+", "(?:Abstract|Background|Conclusions?|Copyright Notice|Introduction|References|Status of This Memo|Acknowledge?ments?|Appendix(?:es)?)"
+NUMBERED, NAMED = r"(?:\d+\.)*\d+\.?\s+[A-Z].+", "(?:Status of This Memo|References|Introduction|Copyright Notice|Conclusions?|Background|Appendix(?:es)?|Acknowledge?ments?|Abstract)"
 
 
 def plain_headings(x: str) -> str:
@@ -143,7 +143,7 @@ FROM (SELECT *, len(regexp_extract_all(text, '(?m)^\|.*\|$')) AS lines, list_max
 
 # --- chunks ---
 
-SPLIT = rf"""{NOTES}, marked AS (SELECT doc_id, full_path, regexp_replace(regexp_replace(content, '(?m)^(#{{1,6}}\s)', chr(1) || '\1', 'g'), '(?m)^([^\x01\n]+\n[=-]{{2,}}\s*)$', chr(1) || '\1', 'g') AS content FROM notes),
+SPLIT = rf"""{NOTES}, marked AS (SELECT doc_id, full_path, regexp_replace(regexp_replace(content, '(?m)^(#{{1,6}}\s)', chr(1) || '\1', 'g'), '(?m)^([^\x01\n]+\n[-=]{{2,}}\s*)$', chr(1) || '\1', 'g') AS content FROM notes),
 cutup AS (SELECT doc_id, full_path, unnest(range(len(l))) AS k, unnest(l) AS piece FROM (SELECT doc_id, full_path, list_filter(list_transform(string_split(content, chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM marked)),
 flags AS (SELECT *, NOT contains(piece, chr(10)) AND regexp_matches(piece, '^#{{1,6}}\s') AS bare FROM cutup),
 runs AS (SELECT *, sum(CASE WHEN bare THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM flags),
@@ -153,14 +153,14 @@ merged AS (SELECT doc_id, full_path, g, string_agg(piece, chr(10) || chr(10) ORD
 parts AS (SELECT doc_id, full_path, CASE WHEN bare AND g = last AND last > 1 THEN g - 1 ELSE g END - 1 AS pos, string_agg(part, chr(10) || chr(10) ORDER BY g) AS part FROM merged GROUP BY ALL)"""
 SQL["chunk_headings_split"] = f"WITH {SPLIT} SELECT doc_id, pos::INT AS pos, md5(part) AS part, length(part)::INT AS length FROM parts"
 MAY_END = r"(len(regexp_extract_all({x}, '(?m)^\s*`{{3,}}')) % 2 = 0 AND NOT (NOT contains({x}, chr(10)) AND regexp_matches({x}, '^#{{1,6}}\s')))"
-NAMED_SECTION = r"(?i)(?:Abstract|Acknowledge?ments?|Appendix(?:\s+[A-Z0-9]+)?|Background|Conclusions?|Contents|Copyright Notice|Foreword|Introduction|Preface|References|Status of This Memo|Table of Contents)"
-PART_SECTION = r"(?i)(?:Appendix|Book|Chapter|Part|Act|Scene)\b(?:\s+[A-Z0-9IVXLCM.-]+)*(?:\s*[:.-]\s*.+)?"
-CAPITALS = "[A-Z][A-Z0-9''\"(),;:/& -]{2,80}"
+NAMED_SECTION = r"(?i)(?:Table of Contents|Status of This Memo|References|Preface|Introduction|Foreword|Copyright Notice|Contents|Conclusions?|Background|Appendix(?:\s+[0-9A-Z]+)?|Acknowledge?ments?|Abstract)"
+PART_SECTION = r"(?i)(?:Appendix|Book|Chapter|Part|Act|Scene)\b(?:\s+[-.0-9A-Z]+)*(?:\s*[-.:]\s*.+)?"
+CAPITALS = "[A-Z][- &/:;,()\"''0-9A-Z]{2,80}"
 
 
 def begins(p: str) -> str:
     first = f"list_filter(list_transform(string_split({p}, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')[1]"
-    return rf"""coalesce((SELECT starts_with(f, '#') OR (len(regexp_extract_all(f, '\S+')) <= 18 AND (regexp_full_match(f, '\d+(?:\.\d+)*\.?\s+[A-Z][^\n]{{0,120}}') OR regexp_full_match(f, '{NAMED_SECTION}') OR regexp_full_match(f, '{PART_SECTION}') OR (NOT contains({p}, chr(10)) AND regexp_full_match(f, '{CAPITALS}')))) FROM (SELECT {first} AS f)), false)"""
+    return rf"""coalesce((SELECT starts_with(f, '#') OR (len(regexp_extract_all(f, '\S+')) <= 18 AND (regexp_full_match(f, '(?:\d+\.)*\d+\.?\s+[A-Z].{{0,120}}') OR regexp_full_match(f, '{NAMED_SECTION}') OR regexp_full_match(f, '{PART_SECTION}') OR (NOT contains({p}, chr(10)) AND regexp_full_match(f, '{CAPITALS}')))) FROM (SELECT {first} AS f)), false)"""
 
 
 def packed(source: str, key: str, size: str, sections: str = "false") -> str:
@@ -191,8 +191,8 @@ def path(k: str) -> str:
 SQL["chunk_navigation"] = f"""WITH RECURSIVE {CHUNKS} SELECT {path('chunk_index')} AS path, chunk_index::INT AS chunk_index, chunk_count::INT AS chunk_count,
   lag({path('chunk_index')}) OVER w AS previous, lead({path('chunk_index')}) OVER w AS next FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)"""
 FIRST = f"list_filter(list_transform(string_split(content, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
-HEAD = rf"""CASE WHEN regexp_matches(content, '(?m)^#{{1,6}}\s+(.+)$') THEN {strip(r"regexp_extract(content, '(?m)^#{1,6}\s+(.+)$', 1)")}
-  WHEN regexp_matches(content, '(?m)^(.+)\n([=-]{{2,}})\s*$') THEN {strip(r"regexp_extract(content, '(?m)^(.+)\n([=-]{2,})\s*$', 1)")} ELSE coalesce({FIRST}[1][1:80], title) END"""
+HEAD = rf"""CASE WHEN regexp_matches(content, '(?m)^#{{1,6}}(?:\s+)(.+)$') THEN {strip(r"regexp_extract(content, '(?m)^#{1,6}(?:\s+)(.+)$', 1)")}
+  WHEN regexp_matches(content, '(?m)^(.+)\n([-=]{{2,}})\s*$') THEN {strip(r"regexp_extract(content, '(?m)^(.+)\n([-=]{2,})\s*$', 1)")} ELSE coalesce({FIRST}[1][1:80], title) END"""
 SHOWN = f"shown AS (SELECT *, {path('chunk_index')} AS path, {low_signal('content')} AS low_signal, coalesce(list_filter({FIRST}, lambda x: NOT starts_with(x, '#'))[1], heading)[1:160] AS preview FROM (SELECT *, {HEAD} AS heading FROM chunks))"
 SQL["chunk_heading_preview"] = f"WITH RECURSIVE {CHUNKS}, {SHOWN} SELECT path, heading, preview, low_signal FROM shown"
 SQL["document_nodes"] = f"WITH RECURSIVE {CHUNKS}, {SHOWN} SELECT path, 'chunk' AS kind, title, heading FROM shown UNION ALL SELECT full_path, 'document', 'Note ' || doc_id, NULL FROM notes"
@@ -238,9 +238,9 @@ def found_ids(x: str) -> str:
 
 
 IDS = found_ids("content")
-SECTIONS = r"regexp_extract_all(content, '(?i)\b(?:section|sec\.?)\s+([0-9]+(?:\.[0-9]+)*)\b', 1)"
-TICKS = f"list_transform(regexp_extract_all(content, '`([^`\\n]{{2,120}})`', 1), lambda b: {strip('b')})"
-ROMAN = "M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})"
+SECTIONS = r"regexp_extract_all(content, '(?i)\bsec(?:tion|\.?)\s+([0-9]+(?:\.[0-9]+)*)\b', 1)"
+TICKS = f"list_transform(regexp_extract_all(content, '`([^\\n`]{{2,120}})`', 1), lambda b: {strip('b')})"
+ROMAN = R.ROMAN.strip("^$")
 
 
 def normal_symbol(x: str) -> str:
@@ -262,7 +262,7 @@ SQL["identifiers"] = joined(IDS, "identifiers")
 SQL["sections"] = joined(SECTIONS, "sections")
 SQL["backticks"] = joined(TICKS, "phrases")
 # words of one case or another stand between non-word characters that neighbours may share, so words are taken whole and tested
-WORDS = r"list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda s: length(s) >= 3 AND (regexp_full_match(s, '[A-Z][a-zA-Z0-9]+') OR regexp_full_match(s, '[a-z_][a-z0-9_]{2,}') OR regexp_full_match(s, '[A-Za-z_][A-Za-z0-9_]*')))"
+WORDS = r"list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda s: length(s) >= 3 AND (regexp_full_match(s, '[A-Z][0-9A-Za-z]+') OR regexp_full_match(s, '[_a-z][_0-9a-z]{2,}') OR regexp_full_match(s, '[A-Za-z_][A-Za-z0-9_]*')))"
 SYMBOLS = f"list_filter(list_concat(list_filter({TICKS}, lambda b: NOT contains(b, ' ')), {WORDS}), lambda s: {symbol_like('s')})"
 SQL["symbols_limited"] = joined(SYMBOLS, "symbols", 24)
 
