@@ -7,9 +7,12 @@ fingerprints than a leaf may is split at its next bit, so prefixes get as long a
 the density asks; but no prefix gets longer than the depth to which the tries must
 climb for the target recall at the design distance, however dense it is there.
 The number of tries follows from that depth and from the number of fingerprints.
-In each leaf, all pairs are compared; of those within the radius, a minimum
-spanning forest goes on, and its edges are verified by the exact Jaccard
-similarity of word triples. Verified edges make groups (connected components).
+In each leaf, all pairs are compared, and those within the radius are verified by
+the exact Jaccard similarity of word triples. Where they are many, a minimum spanning
+forest of them is verified first; a tree that its verified edges leave in several
+parts is dense and unsettled, and its other pairs are verified too, but for those whose ends
+are already in one part. The triples of one dense tree are in one task's memory.
+Verified edges make groups (connected components).
 
 Defined results: null texts and texts without words have no fingerprint, are in no
 group and stay. Of each group the row with the least id stays (null last, then by a
@@ -104,12 +107,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest_edges(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the graph of fingerprints (n, 2) of 64 bits within the radius, by Prim in linear memory where a matrix is too large or too full."""
+    """All edges of the graph of fingerprints (n, 2) of 64 bits within the radius, or, where a matrix is too large or too full, a minimum spanning forest, by Prim in linear memory."""
+    return _leaf_edges(f, radius)[:2]
+
+
+def _leaf_edges(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """What forest_edges gives, and whether that may be less than all edges."""
     n = len(f)
     if n <= 2048:
         i, j = np.nonzero(np.triu(_distances(f, f) <= radius, 1))
         if len(i) <= 2 * n:
-            return i, j
+            return i, j, False
         nodes = np.union1d(i, j)
     else:
         nodes = np.arange(n)
@@ -127,7 +135,52 @@ def forest_edges(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         closer = d < near
         near[closer], by[closer] = d[closer], now
     pairs = np.array(out, np.int64).reshape(-1, 2)
-    return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+    return nodes[pairs[:, 0]], nodes[pairs[:, 1]], len(pairs) > 1
+
+
+def _tree_hashes(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that the edges (i, j) of a forest over fingerprints (n, 2) join, and for each a hash of all nodes of its tree, the same wherever the same nodes make a tree."""
+    root = list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist()):
+        root[find(b)] = find(a)
+    nodes = np.union1d(i, j)
+    tree = np.array([find(x) for x in nodes.tolist()], np.int64)
+    total = np.zeros(len(f), np.uint64)
+    np.add.at(total, tree, mix(mix(f[nodes, 0]) + f[nodes, 1]))
+    return nodes, total[tree]
+
+
+def verified_pairs(f: np.ndarray, part: np.ndarray, values: np.ndarray, bounds: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of fingerprints (n, 2) that are within the radius and whose shingles (values from bounds to bounds) are similar, as many as join all that such pairs join, beyond the parts (n) that are joined already."""
+    n, part = len(f), part.copy()
+    code = np.unique(values, return_inverse=True)[1]
+    size = np.diff(bounds)
+    step = max(1, (1 << 20) // n)
+    degree = np.concatenate([(_distances(f[a : a + step], f) <= radius).sum(1) for a in range(0, n, step)])
+    mark = np.zeros(code.max(initial=0) + 1, np.int64)
+    out = []
+    # those with most neighbours first: they join most, and what is joined needn't be compared
+    for k in np.argsort(-degree, kind="stable"):
+        to = np.flatnonzero((_distances(f[k : k + 1], f)[0] <= radius) & (part != part[k]))
+        if not len(to):
+            continue
+        own = code[bounds[k] : bounds[k + 1]]
+        mark[own] = 1
+        first = np.cumsum(size[to]) - size[to]
+        at = np.arange(size[to].sum()) + np.repeat(bounds[to] - first, size[to])
+        both = np.add.reduceat(mark[code[at]], first)
+        mark[own] = 0
+        for j in to[both >= similarity * (size[k] + size[to] - both)]:
+            if part[j] != part[k]:
+                out.append((int(k), int(j)))
+                part[part == part[j]] = part[k]
+    return out
 
 
 def _leaves(label: np.ndarray, low: int, high: int, leaf: int):
@@ -144,7 +197,12 @@ def _leaves(label: np.ndarray, low: int, high: int, leaf: int):
 
 
 def candidate_edges(nodes: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """nodes (f) of n distinct fingerprints to pairs (a, b), a < b, within the radius."""
+    """nodes (f) of n distinct fingerprints to pairs (a, b), a < b, within the radius; of a leaf with many, a minimum spanning forest."""
+    return _forest(nodes, n, radius, leaf).where("b IS NOT NULL").select("a", "b").distinct()
+
+
+def _forest(nodes: DataFrame, n: int, radius: int, leaf: int) -> DataFrame:
+    """nodes (f) to rows (a, b, tree): pairs, tree being null, and members a of the trees to which a leaf's pairs were thinned, b being null."""
     depth, tries = shape(n)
     low = max(0, depth - SUBTREE)
 
@@ -166,14 +224,24 @@ def candidate_edges(nodes: DataFrame, n: int, radius: int = RADIUS, leaf: int =
             label = np.concatenate([r[0] for r in rows])
             f = np.concatenate([r[1] for r in rows])
             two = np.ascontiguousarray(f).view(np.uint64)
-            found = [(a + i, a + j) for a, b in _leaves(label, low, depth, leaf) for i, j in [forest_edges(two[a:b], radius)] if len(i)]
+            found, dense = [], []
+            for a, b in _leaves(label, low, depth, leaf):
+                i, j, thinned = _leaf_edges(two[a:b], radius)
+                if len(i):
+                    found.append((a + i, a + j))
+                if thinned:
+                    at, tree = _tree_hashes(two[a:b], i, j)
+                    dense.append((a + at, tree))
             if found:
                 i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1))
                 le = np.ascontiguousarray(f).view(">u8").astype(np.uint64)
                 swap = (le[i, 0] > le[j, 0]) | ((le[i, 0] == le[j, 0]) & (le[i, 1] > le[j, 1]))
                 a, b = np.where(swap, j, i), np.where(swap, i, j)
                 at = np.arange(len(a) + 1) * 16
-                yield pa.RecordBatch.from_arrays([binary_array(f[a].ravel(), at), binary_array(f[b].ravel(), at)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([binary_array(f[a].ravel(), at), binary_array(f[b].ravel(), at), pa.nulls(len(a), pa.int64())], names=["a", "b", "tree"])
+            if dense:
+                m, tree = (np.concatenate([x[k] for x in dense]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([binary_array(f[m].ravel(), np.arange(len(m) + 1) * 16), pa.nulls(len(m), pa.binary()), pa.array(tree.view(np.int64))], names=["a", "b", "tree"])
 
         for batch in batches:
             if not len(batch):
@@ -193,11 +261,11 @@ def candidate_edges(nodes: DataFrame, n: int, radius: int = RADIUS, leaf: int =
             yield from edges(kept)
 
     planted = nodes.select("f").mapInArrow(plant, "part bigint, label bigint, f binary")
-    return planted.repartition("part").sortWithinPartitions("part", "label").mapInArrow(search, "a binary, b binary").distinct()
+    return planted.repartition("part").sortWithinPartitions("part", "label").mapInArrow(search, "a binary, b binary, tree bigint")
 
 
-def _verify(edges: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, repeats: bool) -> DataFrame:
-    """The edges whose ends' texts are similar; docs (doc_id, text, key), repeats whether some of its rows agree in id and text."""
+def _shingled(edges: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """The ends of the edges with their texts' shingles, (f, s); docs (doc_id, text, key), repeats whether some of its rows agree in id and text."""
 
     def sets(batches):
         for batch in batches:
@@ -205,6 +273,17 @@ def _verify(edges: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
                 values, bounds = shingles(batch.column(1)[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], binary_array(values.view(np.uint8), bounds * 4)], names=["f", "s"])
 
+    ends = edges.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", "rep"), "f").select("f", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
+    ends = cut(ends, "ends")
+    # most texts have no near copy: they needn't be shuffled
+    texts = docs.where(bloom(ends.select("rep_key"), ends.count())(F.col("key"))).join(ends, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("f", "text")
+    known = texts.mapInArrow(sets, "f binary, s binary")
+    return cut(known.dropDuplicates(["f"]) if repeats else known, "shingles")
+
+
+def _verify(edges: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose ends' texts are similar; known (f, s)."""
+
     def close(batches):
         for batch in batches:
             (va, oa), (vb, ob) = (raw_bytes(batch.column(k)) for k in (2, 3))
@@ -216,16 +295,45 @@ def _verify(edges: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: flo
                 good[k] = both >= similarity * (len(x) + len(y) - both)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", "rep"), "f").select("f", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
-    ends = cut(ends, "ends")
-    # most texts have no near copy: they needn't be shuffled
-    texts = docs.where(bloom(ends.select("rep_key"), ends.count())(F.col("key"))).join(ends, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("f", "text")
-    known = texts.mapInArrow(sets, "f binary, s binary")
-    known = cut(known.dropDuplicates(["f"]) if repeats else known, "shingles")
     at = lambda k: known.select(F.col("f").alias(k), F.col("s").alias("s" + k))
     return edges.join(at("a"), "a").join(at("b"), "b").select("a", "b", "sa", "sb").mapInArrow(close, "a binary, b binary")
 
 
+def _settle(dense: DataFrame, roots: DataFrame, known: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Further verified edges (a, b) in the trees (tree, f) that the components (node, root) of the edges verified so far leave in several parts."""
+
+    def search(batches):
+        kept: list[pa.RecordBatch] = []
+
+        def edges():
+            rows = pa.Table.from_batches(kept).combine_chunks()
+            f, root = (raw_bytes(rows.column(k))[0].reshape(-1, 16) for k in (1, 2))
+            values, bounds = raw_bytes(rows.column(3))
+            part = np.unique(np.ascontiguousarray(root).view("V16").ravel(), return_inverse=True)[1]
+            pairs = np.array(verified_pairs(np.ascontiguousarray(f).view(np.uint64), part, values.view(np.uint32), bounds // 4, radius, similarity), np.int64).reshape(-1, 2)
+            at = np.arange(len(pairs) + 1) * 16
+            yield pa.RecordBatch.from_arrays([binary_array(f[pairs[:, k]].ravel(), at) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            tree = batch.column(0).to_numpy()
+            starts = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), len(tree)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if kept and kept[-1].column(0)[0].as_py() != tree[a]:
+                    yield from edges()
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from edges()
+
+    parts = dense.join(roots.withColumnRenamed("node", "f"), "f", "left").select("tree", "f", F.coalesce("root", "f").alias("root"))
+    parts = cut(parts, "trees")
+    several = parts.groupBy("tree").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("tree")
+    open_ = parts.join(several, "tree").join(known, "f").select("tree", "f", "root", "s")
+    return open_.repartition("tree").sortWithinPartitions("tree").mapInArrow(search, "a binary, b binary")
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows that are in a group of near copies: (doc_id, key, n, keep_id, is_kept). key hashes the text; n counts the rows that agree in both."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("key")).where("text IS NOT NULL")
@@ -242,8 +350,16 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     prints = cut(prints.groupBy("f", "doc_id", "key").agg(F.count("*").alias("n")), "fingerprints")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("key"))
     nodes = cut(prints.groupBy("f").agg(F.min(rank).alias("rep"), F.sum("n").alias("size")), "nodes")
-    edges = cut(candidate_edges(nodes, nodes.count()), "candidates")
-    roots = components(_verify(edges, nodes, own, similarity, not prints.where("n > 1").isEmpty()))
+    found = cut(_forest(nodes, nodes.count(), RADIUS, LEAF), "forest")
+    edges = cut(found.where("b IS NOT NULL").select("a", "b").distinct(), "candidates")
+    known = _shingled(edges, nodes, own, not prints.where("n > 1").isEmpty())
+    verified = cut(_verify(edges, known, similarity), "verified")
+    roots = components(verified)
+    dense = found.where("tree IS NOT NULL").select("tree", F.col("a").alias("f")).distinct()
+    if not dense.isEmpty():
+        more = cut(_settle(dense, cut(roots, "roots"), known, RADIUS, similarity), "settled")
+        if not more.isEmpty():
+            roots = components(verified.unionByName(more))
     grouped = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "rep", "size", F.coalesce("root", "f").alias("root"))
     groups = grouped.groupBy("root").agg(F.min("rep").alias("keep"), F.sum("size").alias("all")).where(F.col("all") > 1)
     members = grouped.join(groups, "root").select("f", "keep")

@@ -87,6 +87,22 @@ def test_minimum_spanning_forest_joins_what_the_pairs_join():
     assert sum(sets(zip(i, j))) == sum(sets(zip(*np.nonzero(np.triu(d <= 8, 1)))))
 
 
+def test_a_dense_group_keeps_the_edges_that_hold_it_together(spark):
+    # copies are similar to the original, but hardly to each other
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1501):
+        words = list(base)
+        for at in rng.choice(200, 15, replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    sets = [triples(t) for _, t in rows]
+    near = {k for k in range(1, 1501) if 2 * len(sets[0] & sets[k]) >= len(sets[0] | sets[k])}
+    got = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.keep_id == 0}
+    assert len(near) > 1000 and len(near & got) >= 0.9 * len(near)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (103, 101), (200, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
