@@ -5,7 +5,8 @@ assigned to coarse centroids (Lloyd's rounds over all rows). What is left of a v
 is cut into parts, each coded by the nearest of 256 codewords (Lloyd's over all rows).
 A query's tables hold the product of each of its parts with each codeword, and a
 code's score is the sum of what its bytes look up. The best codes are reranked with
-the vectors themselves.
+the vectors themselves; so are all whose score, with the most that quantisation may have taken
+from it, reaches the k-th of those. So nothing is lost in the lists that are probed.
 
 How many lists a query probes follows from the lists' sizes, centroids and spreads, all
 counted over the whole table: taking the products with a list's vectors to be normal, a query
@@ -31,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +45,13 @@ TARGET = 0.96
 MAX_LISTS = 1 << 16
 PARTS, CODES = 16, 256
 COARSE_ROUNDS, CODE_ROUNDS = 6, 4
-#: Codes that are reranked in each shard, for each neighbour wanted.
+#: Codes that are reranked first in each shard, for each neighbour wanted; they tell how far the others must be looked at.
 RERANK = 6
 #: A list with so many times the mean number of vectors is split.
 LONG = 4
 _BLOCK = 2048
+#: More than the rounding of a product of two vectors of length 1 in single precision.
+_SLACK = np.float32(1e-5)
 
 
 def _matrix(col: pa.Array, d: int) -> np.ndarray:
@@ -255,9 +259,14 @@ def _best(index: Index, d: int, k: int):
         order = np.argsort(lists, kind="stable")
         code, v, uid = (np.concatenate([m[j] for m in members])[order] for j in (1, 2, 3))
         own, at_own = np.unique(lists[order], return_inverse=True)
-        return v, code, pa.concat_arrays([m[4] for m in members]).take(pa.array(order)), uid, own, at_own
-
-    def search(v, code, ids, uid, own, at_own, probes, x, who):
+        ids = pa.concat_arrays([m[4] for m in members]).take(pa.array(order))
+        place = np.empty(len(v), np.int64)
+        place[pc.sort_indices(pa.table({"id": ids, "uid": uid}), sort_keys=[("id", "ascending"), ("uid", "ascending")]).to_numpy()] = np.arange(len(v))
+        rest = _parts(v - index.centroids[index.parent[own]][at_own], index.words.shape[2])
+        lost = np.stack([np.sqrt(((rest[:, j] - w[code[:, j]]) ** 2).sum(1)) for j, w in enumerate(index.words)])
+        return v, code, ids, uid, own, at_own, place, lost
+
+    def search(v, code, ids, uid, own, at_own, place, lost, probes, x, who):
         table = np.einsum("qjw,jcw->jcq", _parts(x, index.words.shape[2]), index.words, optimize=True)
         # products with centroids differ between the lists of a shard, not between their vectors
         base = index.centroids[index.parent[own]] @ x.T
@@ -270,11 +279,23 @@ def _best(index: Index, d: int, k: int):
         pick = np.argpartition(-score, short - 1, 1)[:, :short] if short < len(v) else np.broadcast_to(np.arange(len(v)), score.shape)
         some = np.isfinite(np.take_along_axis(score, pick, 1)) & (uid[pick] != who[:, None])
         exact = np.where(some, np.einsum("qd,qrd->qr", x, v[pick], optimize=True), -np.inf)
-        # all that are as near as the k-th go on, so that ties are settled by id
         bound = -np.partition(-exact, min(k, short) - 1, 1)[:, min(k, short) - 1]
-        q, r = np.nonzero(some & (exact >= bound[:, None]))
+        if short < len(v):
+            # no part's product with what was lost exceeds the product of their lengths
+            score += np.sqrt((_parts(x, index.words.shape[2]) ** 2).sum(2)) @ lost
+            more = np.isfinite(score) & (score >= bound[:, None] - _SLACK) & (uid != who[:, None])
+            exact = np.where(more, x @ v.T, -np.inf)
+            bound = -np.partition(-exact, k - 1, 1)[:, k - 1]
+            pick = np.broadcast_to(np.arange(len(v)), exact.shape)
+        q, r = np.nonzero(np.isfinite(exact) & (exact >= bound[:, None] - _SLACK))
         at = pick[q, r]
-        return pa.RecordBatch.from_arrays([pa.array(who[q]), ids.take(pa.array(at)), pa.array(uid[at]), pa.array(exact[q, r].astype(np.float64))], names=["query", "neighbour_id", "neighbour", "similarity"])
+        # summed in one order, whatever the block, so that equal vectors are equally near; ties are settled by id, then row
+        near = np.concatenate([(x[q[a : a + (1 << 16)]] * v[at[a : a + (1 << 16)]]).sum(1) for a in range(0, len(q), 1 << 16)]) if len(q) else np.zeros(0, np.float32)
+        order = np.lexsort((place[at], -near, q))
+        first = np.searchsorted(q, q)  # q is sorted, before and after
+        order = order[np.arange(len(q)) - first < k]
+        q, at, near = q[order], at[order], near[order]
+        return pa.RecordBatch.from_arrays([pa.array(who[q]), ids.take(pa.array(at)), pa.array(uid[at]), pa.array(near.astype(np.float64))], names=["query", "neighbour_id", "neighbour", "similarity"])
 
     def run(batches):
         shard, members, index_of = None, [], None
@@ -293,8 +314,9 @@ def _best(index: Index, d: int, k: int):
                 elif members:
                     index_of = index_of or joined(members)
                     probes = part.column(4).to_pylist()
-                    for i in range(0, len(part), 256):
-                        yield search(*index_of, probes[i : i + 256], x[i : i + 256], uid[i : i + 256])
+                    step = min(256, max(1, (1 << 23) // len(index_of[0])))
+                    for i in range(0, len(part), step):
+                        yield search(*index_of, probes[i : i + step], x[i : i + step], uid[i : i + step])
 
     return run
 

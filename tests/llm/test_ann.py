@@ -32,6 +32,24 @@ def test_recall_with_clusters_and_copies(spark):
     assert recall(df, ann.neighbours(df).collect()) >= 0.92
 
 
+def test_recall_in_a_dense_group(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1000] = x[0] + rng.normal(size=(1000, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.neighbours(df).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    s = x[:1000] @ x.T
+    s[np.arange(1000), np.arange(1000)] = -9
+    best = np.argsort(-s, 1)[:, :10]
+    found = np.mean([len(got[i] & set(best[i].tolist())) / 10 for i in range(1000)])
+    print("recall in the group", found)
+    assert found >= 0.9
+
+
 def test_fewer_lists_are_probed_where_vectors_cluster():
     rng = np.random.default_rng(2)
     c = rng.normal(size=(50, 16)).astype(np.float32)
