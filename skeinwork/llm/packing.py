@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, raw_bytes, slices
-from .textvec import runs
+from .textvec import beyond_ascii, runs
 
 #: Words that a bin holds.
 CAPACITY = 2048
@@ -38,14 +38,14 @@ IS_WORD[[*range(9, 14), 32]] = False
 
 
 def word_count(text: Column) -> Column:
-    """Runs of characters that aren't white space (of ASCII)."""
+    """Runs of characters that aren't white space (of ASCII), cut so that each character of a script without spaces is a word."""
 
     @F.arrow_udf("bigint")
     def count(col: pa.Array) -> pa.Array:
         out = []
         for i, j in slices(col):
             data, off = raw_bytes(col[i:j])
-            start, _ = runs(IS_WORD[data], off)
+            start, _ = runs(IS_WORD[data], np.union1d(off, beyond_ascii(data)[1]))
             out.append(np.diff(np.searchsorted(start, off)))
         return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
 

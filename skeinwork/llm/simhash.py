@@ -1,7 +1,7 @@
 """Near-duplicate groups by SimHash and an LSH forest.
 
 A text's features are its distinct words and pairs of neighbouring words, without
-case and punctuation; its fingerprint has 128 bits. The forest has several tries,
+case and punctuation, each character of scripts without spaces being a word; its fingerprint has 128 bits. The forest has several tries,
 each over the bits in an order of its own. A node of a trie that holds more
 fingerprints than a leaf may is split at its next bit, so prefixes get as long as
 the density asks; but no prefix gets longer than the depth to which the tries must

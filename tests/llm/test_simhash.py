@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from skeinwork.llm import components, simhash
+from skeinwork.llm import components, packing, simhash, textvec
+from skeinwork.llm.shared import raw_bytes
 
 
 def triples(text):
@@ -110,6 +111,18 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def test_scripts_without_spaces(spark):
+    rng = np.random.default_rng(8)
+    chinese = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 500)) + "\u3002"
+    thai = "".join(chr(c) for c in rng.integers(0xE01, 0xE2F, 500))
+    rows = [(1, chinese), (2, chinese[:250] + "\u6f22" + chinese[251:]), (3, thai), (4, thai[:250] + "\u0e01" + thai[251:]), (5, "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 500)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in simhash.near_duplicates(df).collect()) == [(2, 1), (4, 3)]
+    assert [r.n for r in df.orderBy("doc_id").select(packing.word_count(df.text).alias("n")).collect()] == [501, 501, 500, 500, 500]
+    cut_up = lambda t: [t.encode()[a:b].decode() for a, b in zip(*textvec.words(*raw_bytes(pa.array([t])))[:2])]
+    assert cut_up("a\u201cb\u201d c\u6f22\u5b57d\u3002\u0e01\u0e34\u0e02 \u00e9t\u00e9\u00a0x") == ["a", "b", "c", "\u6f22", "\u5b57", "d", "\u0e01\u0e34", "\u0e02", "\u00e9t\u00e9", "x"]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     text = " ".join(f"v{k}" for k in range(200))
