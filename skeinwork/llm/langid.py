@@ -10,11 +10,14 @@ run over all texts of a slice together.
 Defined results: a null, empty or letterless text is "und" with share 0 and no
 spans. Ties go to the language first in the alphabet, "und" last. Texts of any length
 are read whole. Rows are labelled one by one, so repeated rows get equal labels.
-With no labelled rows, only scripts are told apart, and Latin text is "und".
+With no labelled rows, only scripts are told apart, and text in Latin letters or in a script
+without a name here is "und".
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,10 +36,12 @@ SWITCH = 12.0
 FAR = np.float32(-1e4)
 UND = "und"
 #: First code point, last code point, script.
-SCRIPTS = [(0x41, 0x24F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x370, 0x3FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x530, 0x58F, "Armenian"), (0x590, 0x5FF, "Hebrew"), (0x600, 0x77F, "Arabic"), (0x900, 0x97F, "Devanagari"), (0x980, 0x9FF, "Bengali"), (0xB80, 0xBFF, "Tamil"), (0xE00, 0xE7F, "Thai"), (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han")]
+SCRIPTS = [(0x41, 0x24F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x370, 0x3FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x530, 0x58F, "Armenian"), (0x590, 0x5FF, "Hebrew"), (0x600, 0x77F, "Arabic"), (0x900, 0x97F, "Devanagari"), (0x980, 0x9FF, "Bengali"), (0xA00, 0xA7F, "Gurmukhi"), (0xA80, 0xAFF, "Gujarati"), (0xB00, 0xB7F, "Odia"), (0xB80, 0xBFF, "Tamil"), (0xC00, 0xC7F, "Telugu"), (0xC80, 0xCFF, "Kannada"), (0xD00, 0xD7F, "Malayalam"), (0xD80, 0xDFF, "Sinhala"), (0x780, 0x7BF, "Thaana"), (0xE00, 0xE7F, "Thai"), (0xE80, 0xEFF, "Lao"), (0xF00, 0xFFF, "Tibetan"), (0x1000, 0x109F, "Myanmar"), (0x1200, 0x139F, "Ethiopic"), (0x1780, 0x17FF, "Khmer"), (0x1800, 0x18AF, "Mongolian"), (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"), (0x3040, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han"), (0xF900, 0xFAFF, "Han"), (0x20000, 0x3FFFF, "Han")]
+#: Letters of all other scripts; which languages they may be is learned.
+OTHER = "Other"
 #: Languages of scripts, beside those that are learned.
-SCRIPT_LANGUAGES = {"Greek": ["el"], "Cyrillic": ["ru"], "Armenian": ["hy"], "Hebrew": ["he"], "Arabic": ["ar"], "Devanagari": ["hi"], "Bengali": ["bn"], "Tamil": ["ta"], "Thai": ["th"], "Georgian": ["ka"], "Hangul": ["ko"], "Kana": ["ja"], "Han": ["zh", "ja"]}
-NAMES = ["none", *dict.fromkeys(s for *_, s in SCRIPTS)]
+SCRIPT_LANGUAGES = {"Greek": ["el"], "Cyrillic": ["ru"], "Armenian": ["hy"], "Hebrew": ["he"], "Arabic": ["ar"], "Devanagari": ["hi"], "Bengali": ["bn"], "Gurmukhi": ["pa"], "Gujarati": ["gu"], "Odia": ["or"], "Tamil": ["ta"], "Telugu": ["te"], "Kannada": ["kn"], "Malayalam": ["ml"], "Sinhala": ["si"], "Thaana": ["dv"], "Thai": ["th"], "Lao": ["lo"], "Tibetan": ["bo"], "Myanmar": ["my"], "Ethiopic": ["am"], "Khmer": ["km"], "Mongolian": ["mn"], "Georgian": ["ka"], "Hangul": ["ko"], "Kana": ["ja"], "Han": ["zh", "ja"]}
+NAMES = ["none", *dict.fromkeys(s for *_, s in SCRIPTS), OTHER]
 
 
 def _byte_classes() -> np.ndarray:
@@ -49,6 +54,17 @@ def _byte_classes() -> np.ndarray:
             if not 0xD800 <= c < 0xE000 and chr(c).isalpha() | (c > 0x24F):
                 u = chr(c).encode()
                 table[u[0] << 8 | u[1]] = NAMES.index(name)
+    # characters of three and four bytes are classed together: by what most of them are
+    kinds: dict[int, list[int]] = {}
+    for c in range(0x250, 0x20000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind not in "C":
+            u = chr(c).encode()
+            n = kinds.setdefault(u[0] << 8 | u[1], [0, 0, 0])
+            n[0 if kind == "L" else 1 if kind == "M" else 2] += 1
+    for k, (letters, marks, rest) in kinds.items():
+        if not table[k] and letters and letters + marks >= rest:
+            table[k] = NAMES.index(OTHER)
     return table
 
 

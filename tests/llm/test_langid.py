@@ -72,6 +72,18 @@ def test_without_labels(spark):
     assert langid.known_language(df, m).count() == 3
 
 
+def test_labelled_rows_of_every_script_are_kept(spark, docs):
+    texts = {"te": "తెలుగు భాష చాలా అందమైనది మరియు పురాతనమైనది", "gu": "ગુજરાતી ભાષા ખૂબ સુંદર છે", "chr": "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎠᏂᏴᏫ", "km": "ភាសាខ្មែរ ជាភាសា", "am": "አማርኛ ቋንቋ ነው"}
+    rows = [(10**6 + 20 * k + i, text + f" {i}", lang) for k, (lang, text) in enumerate(texts.items()) for i in range(20)]
+    df = docs.select("doc_id", "text", "lang").limit(50).unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    model = langid.train(df)
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert all(got[d].lang == lang and got[d].share == 1.0 and got[d].spans for d, _, lang in rows)
+    assert {d for d, *_ in rows} <= {r.doc_id for r in langid.known_language(df, model).collect()}
+    unlabelled = langid.train(docs.limit(50)).label(pa.array([texts["te"], texts["km"]])).to_pylist()
+    assert [r["lang"] for r in unlabelled] == ["te", "km"]
+
+
 def test_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = langid.op5_language_id(spark, small).collect()
