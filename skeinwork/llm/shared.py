@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
@@ -122,6 +123,24 @@ def without(docs: DataFrame, id_col: str, key: Column, decided: DataFrame) -> Da
     return wide.where(~met).select(*columns).unionByName(some.select(*columns))
 
 
+def lean(run):
+    """run, a function of batches, which at its end gives the memory that a Python worker has freed back to the system: workers outlive their tasks."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        release()
+
+    return trimmed
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array and its n+1 offsets into them; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):

@@ -19,6 +19,8 @@ IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 #: Scripts that are written without spaces: each character, with its marks, is a word.
 UNSPACED = [(0xE00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)]
 BREAK, LETTER, ALONE, MARK = range(4)
+#: Bytes that are hashed at a time.
+BLOCK = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -58,11 +60,18 @@ def runs(flag: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes from start to end, without case for ASCII."""
-    p, inv = powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * p[:-1], out=c[1:])
-    return mix((c[end] - c[start]) * inv[start])
+    """64-bit hashes of the bytes from start to end, without case for ASCII; the spans are in order."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        # no more than BLOCK bytes at a time, but for a span that is longer
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+        a, z = start[i], end[j - 1]
+        p, inv = powers(z - a + 1)
+        c = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[data[a:z]] * p[:-1], out=c[1:])
+        out[i:j] = (c[end[i:j] - a] - c[start[i:j] - a]) * inv[start[i:j] - a]
+        i = j
+    return mix(out)
 
 
 @cache

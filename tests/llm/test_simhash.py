@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -54,38 +55,122 @@ def test_against_all_pairs(spark, sf):
     assert all(find(at[r.doc_id]) == find(at[r.keep_id]) for r in got)
 
 
+def flipped(rng, rows, bits):
+    """rows (n, BITS / 8), each with so many of its bits changed, bits being a number or one for each row."""
+    out = np.unpackbits(rows, axis=1)
+    for row, k in zip(out, np.broadcast_to(bits, len(rows))):
+        row[rng.choice(simhash.BITS, k, replace=False)] ^= 1
+    return np.packbits(out, axis=1)
+
+
 def test_trees_find_close_fingerprints(spark):
+    """Pairs at each distance up to the farthest, among others, in leaves of 8: recall is on target, or above it for nearer ones."""
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
-    other = np.unpackbits(base[:1000], axis=1)
-    for k, row in enumerate(other):
-        row[rng.choice(128, k % 16, replace=False)] ^= 1
-    rows = np.unique(np.concatenate([base, np.packbits(other, axis=1)]), axis=0)
-    nodes = spark.createDataFrame(pa.table({"f": [r.tobytes() for r in rows]}))
-    found = {(bytes(r.a), bytes(r.b)) for r in simhash.candidate_edges(nodes, len(rows), leaf=8).collect()}
-    want = {tuple(sorted((base[k].tobytes(), np.packbits(other[k]).tobytes()))) for k in range(1000) if k % 16}
-    assert len(want & found) >= 0.95 * len(want)
-
-
-def test_minimum_spanning_forest_joins_what_the_pairs_join():
+    base = rng.integers(0, 256, (3000, simhash.BITS // 8), dtype=np.uint8)
+    levels = [16, 32, 40, 46, 52, 64]
+    other = flipped(rng, base, np.repeat(levels, 500))
+    nodes = spark.createDataFrame(pa.table({"f": [r.tobytes() for r in np.concatenate([base, other])]}))
+    found = {(bytes(r.a), bytes(r.b)) for r in simhash.candidate_edges(nodes, leaf=64).collect()}
+    hit = [tuple(sorted((base[k].tobytes(), other[k].tobytes()))) in found for k in range(3000)]
+    recall = {d: np.mean(hit[k * 500 : k * 500 + 500]) for k, d in enumerate(levels)}
+    assert all(recall[d] >= 0.99 for d in (16, 32, 40)) and all(recall[d] >= 0.95 for d in (46, 52)) and recall[64] >= 0.85
+    # two random fingerprints are never that near
+    assert len(found) == sum(hit)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4096, 10**6, 10**9])
+def test_the_climb_ends_where_the_target_is_reached(n):
+    depth, tries = simhash.climb(n, 0.25)
+    assert simhash.recall(depth, tries, 0.25) >= simhash.RECALL and n / 2**depth <= simhash.LEAF
+    assert not depth or tries == 1 or simhash.recall(depth, tries - 1, 0.25) < simhash.RECALL
+
+
+def test_dense_nodes_get_tasks_of_their_own():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 256, (1, simhash.BITS // 8), dtype=np.uint8)
+    f = np.concatenate([rng.integers(0, 256, (2000, simhash.BITS // 8), dtype=np.uint8), flipped(rng, np.repeat(one, 2000, 0), rng.integers(0, 20, 2000))])
+    first, depth = simhash._crowded(f, 1, 7, 200)
+    label = simhash._labels(f, 7)
+    at = np.searchsorted(first, label, "right") - 1
+    # only fingerprints that agree in all 64 bits can't be parted
+    assert np.bincount(at)[depth[: at.max() + 1] < 64].max() <= 200 and depth.max() > depth.min()
+    shift = (64 - depth[at]).astype(np.uint64)
+    assert (label >> shift == first[at] >> shift).all()  # each is a node: its fingerprints agree in a prefix
+
+
+def test_a_full_leaf_gives_a_forest_that_joins_what_its_pairs_join():
     rng = np.random.default_rng(5)
-    f = rng.integers(0, 1 << 62, (40, 2), dtype=np.uint64)
-    f = np.concatenate([f ^ (np.uint64(1) << rng.integers(0, 60, (40, 2)).astype(np.uint64)) for _ in range(70)])
+    base = rng.integers(0, 256, (40, simhash.BITS // 8), dtype=np.uint8)
+    f = np.ascontiguousarray(np.concatenate([flipped(rng, base, 12) for _ in range(70)])).view(np.uint64)
     d = simhash._distances(f, f)
-    i, j = simhash.forest_edges(f, 8)
-    assert (d[i, j] <= 8).all()
-
-    def sets(edges):
-        root = list(range(len(f)))
-        for a, b in edges:
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        return [next(iter([x for x in [k] if root[x] == x]), None) is None for k in range(len(f))]
-
-    assert sum(sets(zip(i, j))) == sum(sets(zip(*np.nonzero(np.triu(d <= 8, 1)))))
+    radius = (128, 30)
+    i, j, thinned = simhash.leaf_edges(f, radius)
+    assert thinned and (d[i, j] <= 30).all() and len(i) == 2800 - 40
+    assert {frozenset(np.flatnonzero(simhash._tree_hashes(f, i, j)[1] == t) % 40) for t in set(simhash._tree_hashes(f, i, j)[1])} == {frozenset([k]) for k in range(40)}
+    some = f[::40][:3]
+    assert sorted(zip(*simhash.leaf_edges(some, (128, 40))[:2])) == [(a, b) for a in range(3) for b in range(a + 1, 3) if simhash._distances(some, some)[a, b] <= 40]
+
+
+def test_a_dense_leaf_ends_in_bounded_time():
+    rng = np.random.default_rng(7)
+    one = rng.integers(0, 256, (1, simhash.BITS // 8), dtype=np.uint8)
+    f = np.ascontiguousarray(flipped(rng, np.repeat(one, 5000, 0), 8)).view(np.uint64)
+    began = time.time()
+    i, j, thinned = simhash.leaf_edges(f, simhash.radius_of(0.5))
+    assert thinned and len(i) == 4999 and time.time() - began < 30
+
+
+def edited(rng, words, kind, j):
+    """A text whose word triples have about that Jaccard similarity to those of words: with words replaced, or cut, or extended."""
+    n = len(words)
+    if kind == "replaced":
+        out = list(words)
+        for at in rng.choice(n // 3, round(n * (1 - 2 * j / (1 + j)) / 3), replace=False):
+            out[3 * at + 1] = f"new{rng.integers(1 << 40)}"
+        return out
+    if kind == "cut":
+        return words[: round(n * j)]
+    return words + [f"more{rng.integers(1 << 40)}" for _ in range(round(n / j) - n)]
+
+
+@pytest.mark.parametrize("n", [500, 4000])
+def test_copies_near_the_threshold_are_found(spark, n):
+    """Of pairs with similarities between 0.5 and 0.7, made by replacing, cutting and extending, most are found whatever the number of texts."""
+    rng = np.random.default_rng(11)
+    rows, kinds = [], {}
+    for k in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+        rows.append((2 * k, " ".join(words)))
+        if k < 300:
+            kind, j = ("replaced", "cut", "extended")[k % 3], (0.52, 0.6, 0.7)[k // 3 % 3]
+            other = " ".join(edited(rng, words, kind, j))
+            a, b = triples(rows[-1][1]), triples(other)
+            if len(a & b) >= 0.5 * len(a | b):
+                kinds.setdefault((kind, j), []).append(2 * k + 1)
+                rows.append((2 * k + 1, other))
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {x: np.mean([d in got for d in ids]) for x, ids in kinds.items()}
+    assert all(k == d - 1 for d, k in got.items())
+    assert len(kinds) == 9 and min(found.values()) >= 0.8 and np.mean([d in got for ids in kinds.values() for d in ids]) >= 0.93, found
+
+
+def test_rounds_climb_where_it_is_dense(spark, monkeypatch):
+    """With leaves far smaller than a group of copies of one original, further rounds join what the first one's deep leaves left apart."""
+    monkeypatch.setattr(simhash, "LEAF", 64)
+    turns = []
+    forest = simhash._forest
+    monkeypatch.setattr(simhash, "_forest", lambda nodes, n, shape, radius, leaf, turn=0: turns.append((n, turn)) or forest(nodes, n, (1, 6), radius, 64, turn))
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1001):
+        words = list(base)
+        for at in rng.choice(200, 6, replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    got = [r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(turns) > 1 and turns[1][0] < 0.5 * turns[0][0]
+    assert len(got) >= 990 and {r.keep_id for r in got} == {0}
 
 
 def test_a_dense_group_keeps_the_edges_that_hold_it_together(spark):
