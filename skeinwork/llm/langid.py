@@ -17,6 +17,7 @@ without a name here is "und".
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, raw_bytes, slices
+from .shared import free_name, lean, raw_bytes, slices
 from .textvec import runs
 
 #: Trigrams are counted in so many buckets.
@@ -33,6 +34,8 @@ BITS = 16
 SAMPLE_PER_LANGUAGE = 400
 #: What a change of language costs, in nats.
 SWITCH = 12.0
+#: Scores of trigrams that are looked up at a time.
+BLOCK = 1 << 20
 FAR = np.float32(-1e4)
 UND = "und"
 #: First code point, last code point, script.
@@ -44,31 +47,43 @@ SCRIPT_LANGUAGES = {"Greek": ["el"], "Cyrillic": ["ru"], "Armenian": ["hy"], "He
 NAMES = ["none", *dict.fromkeys(s for *_, s in SCRIPTS), OTHER]
 
 
-def _byte_classes() -> np.ndarray:
-    """The script of a character by its first two bytes in UTF-8: [lead << 8 | next]."""
-    table = np.zeros(1 << 16, np.uint8)
-    for b in (*range(65, 91), *range(97, 123)):
-        table[b << 8 : (b + 1) << 8] = 1
-    for first, last, name in SCRIPTS:
-        for c in range(max(first, 0xAA), last + 1):
-            if not 0xD800 <= c < 0xE000 and chr(c).isalpha() | (c > 0x24F):
-                u = chr(c).encode()
-                table[u[0] << 8 | u[1]] = NAMES.index(name)
-    # characters of three and four bytes are classed together: by what most of them are
-    kinds: dict[int, list[int]] = {}
-    for c in range(0x250, 0x20000):
+#: Marks without a script of their own: they have that of the letter before.
+INHERITED = 255
+
+
+@cache
+def _classes() -> np.ndarray:
+    """The script of each code point: letters and marks have one, all else has none (0)."""
+    table = np.zeros(0x110000, np.uint8)
+    for c in range(0x20000):
         kind = unicodedata.category(chr(c))[0]
-        if kind not in "C":
-            u = chr(c).encode()
-            n = kinds.setdefault(u[0] << 8 | u[1], [0, 0, 0])
-            n[0 if kind == "L" else 1 if kind == "M" else 2] += 1
-    for k, (letters, marks, rest) in kinds.items():
-        if not table[k] and letters and letters + marks >= rest:
-            table[k] = NAMES.index(OTHER)
+        if kind in "LM":
+            table[c] = NAMES.index(OTHER) if kind == "L" else INHERITED
+    for first, last, name in SCRIPTS:
+        some = table[first : last + 1]
+        some[(some > 0) | (first >= 0x20000)] = NAMES.index(name)
     return table
 
 
-CLASS = _byte_classes()
+def scripts_of(b: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The script of the character that each byte belongs to; more marks the bytes within characters."""
+    table = _classes()
+    script = table[b * (b < 128)]
+    at = np.flatnonzero(b >= 0xC2)
+    if not len(at) and not more.any():
+        return script
+    wide = np.concatenate([b, np.zeros(3, np.uint8)])
+    x = [wide[at + k].astype(np.int64) for k in range(4)]
+    y = [v & 0x3F for v in x]
+    two, three = (x[0] & 0x1F) << 6 | y[1], (x[0] & 0x0F) << 12 | y[1] << 6 | y[2]
+    four = (x[0] & 0x07) << 18 | y[1] << 12 | y[2] << 6 | y[3]
+    script[at] = table[np.minimum(np.where(x[0] < 0xE0, two, np.where(x[0] < 0xF0, three, four)), 0x10FFFF)]
+    own = ~more & (script != INHERITED)
+    first = np.maximum.accumulate(np.where(own, np.arange(len(b)), 0))
+    script = script[first]
+    return np.where(script == INHERITED, np.uint8(0), script)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 STRUCT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
@@ -83,12 +98,8 @@ def _words(data: np.ndarray, off: np.ndarray):
     own[at[1:] - 1] = False
     b = np.full(len(own), 32, np.uint8)
     b[own] = data
-    following = np.append(b[1:], np.uint8(32)).astype(np.uint16)
-    script = CLASS[(b.astype(np.uint16) << 8) | following]
     more = (b & 0xC0) == 0x80
-    if more.any():
-        lead = np.where(more, 0, np.arange(len(b)))
-        script = script[np.maximum.accumulate(lead)]
+    script = scripts_of(b, more)
     letter = script > 0
     cuts = at
     if (script > 1).any():
@@ -129,7 +140,14 @@ class Model:
     def scores(self, script: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores of words by state, and the states in use."""
         slot, first = _slots(start, end)
-        known = np.add.reduceat(self.table[code[slot]], first, axis=0) if len(first) else np.zeros((0, self.table.shape[1]), np.float32)
+        known = np.empty((len(first), self.table.shape[1]), np.float32)
+        step, i = max(1, BLOCK // self.table.shape[1]), 0
+        while i < len(first):
+            # no more than BLOCK scores at a time, but for a longer word
+            j = max(i + 1, int(np.searchsorted(first, first[i] + step, "right")) - 1)
+            a, z = first[i], first[j] if j < len(first) else len(slot)
+            known[i:j] = np.add.reduceat(self.table[code[slot[a:z]]], first[i:j] - a, axis=0)
+            i = j
         present = script[start]
         seen = np.unique(present)
         use = np.flatnonzero(self.allowed[seen].any(0)) if len(seen) else np.arange(self.table.shape[1])
@@ -146,12 +164,12 @@ class Model:
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
         begin, size = first[:-1][order], size[order]
-        back = np.empty(score.shape, np.int8)
+        back = np.empty(score.shape, np.int16)
         steps = int(size[0]) if len(size) else 0
         alive = np.searchsorted(-size, -np.arange(steps), "left")  # texts with more words than t
         v = score[begin[: alive[0]]].copy() if steps else score[:0]
         last = np.zeros(len(size), np.int64)
-        every = np.arange(score.shape[1], dtype=np.int8)
+        every = np.arange(score.shape[1], dtype=np.int16)
         for t in range(1, steps):
             n = alive[t]
             if n < len(v):
@@ -159,12 +177,12 @@ class Model:
                 v = v[:n]
             best = v.argmax(1)
             top = v[np.arange(n), best][:, None] - self.switch
-            back[begin[:n] + t] = np.where(v >= top, every, best[:, None].astype(np.int8))
+            back[begin[:n] + t] = np.where(v >= top, every, best[:, None].astype(np.int16))
             v = np.maximum(v, top) + score[begin[:n] + t]
             v -= v.max(1, keepdims=True)
         if steps:
             last[: len(v)] = v.argmax(1)
-        label = np.zeros(len(score), np.int8)
+        label = np.zeros(len(score), np.int16)
         for t in range(steps - 1, -1, -1):
             n = alive[t]
             at = begin[:n] + t
@@ -225,7 +243,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.tobytes()]), pa.array([s.tobytes()])], names=["lang", "counts", "scripts"])
 
     found: dict[str, list] = {}
-    for r in sample.coalesce(4).mapInArrow(count, "lang string, counts binary, scripts binary").toLocalIterator():
+    for r in sample.coalesce(4).mapInArrow(lean(count), "lang string, counts binary, scripts binary").toLocalIterator():
         own = found.setdefault(r.lang, [np.zeros(1 << BITS), np.zeros(len(NAMES))])
         own[0] += np.frombuffer(r.counts)
         own[1] += np.frombuffer(r.scripts)

@@ -84,6 +84,41 @@ def test_labelled_rows_of_every_script_are_kept(spark, docs):
     assert [r["lang"] for r in unlabelled] == ["te", "km"]
 
 
+def test_many_languages(spark):
+    """More states than a byte counts: each of 200 languages with words of its own is known."""
+    rng = np.random.default_rng(1)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(200)]
+    rows = [(k, " ".join(rng.permutation(words[k])), f"l{k:03d}") for k in range(200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert [r["lang"] for r in model.label(pa.array([t for _, t, _ in rows])).to_pylist()] == [x for *_, x in rows]
+
+
+def test_ties_go_to_the_first_in_the_alphabet(spark):
+    rows = [(1, "mi fa sol", "zz"), (2, "mi fa sol", "aa"), (3, "do re", "und")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.label(pa.array(["sol fa mi"]))[0].as_py()["lang"] == "aa"
+
+
+def test_scripts_by_code_point():
+    def scripts(text):
+        b = np.frombuffer(text.encode(), np.uint8)
+        more = (b & 0xC0) == 0x80
+        return [langid.NAMES[k] for k in langid.scripts_of(b, more)[~more]]
+
+    # Myanmar and Georgian share their first two bytes in UTF-8
+    assert scripts("\u1081\u10a0") == ["Myanmar", "Georgian"]
+    assert scripts("e\u0301 \u0301\u0416\u0301!") == ["Latin", "Latin", "none", "none", "Cyrillic", "Cyrillic", "none"]
+    assert scripts("\u0967\u0915\u0964") == ["none", "Devanagari", "none"]  # a digit, a letter, a full stop
+    assert scripts("\U00020000\U0001F600") == ["Han", "none"]
+
+
+def test_scores_don_t_depend_on_blocks(model, monkeypatch):
+    texts = pa.array(["the cat and the dog " * 50, "x" * 5000, "der Hund und die Katze", "", None])
+    whole = model.label(texts)
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    assert model.label(texts) == whole
+
+
 def test_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = langid.op5_language_id(spark, small).collect()
