@@ -7,7 +7,7 @@ continue, and generation, whose output is marked as spans of the rendered text.
 language is parsed into a syntax tree, constants are folded, and each node becomes a
 Python closure. It is sandboxed: there is no attribute access but lookup in mappings,
 no call but the listed filters, tests, methods and functions, and a render may take
-so many steps and characters only. A newline right after a statement is dropped, and
+only so many steps and characters as grow with its conversation. A newline right after a statement is dropped, and
 blanks before a statement at the start of its line.
 
 Defined results: a conversation is the rows of an id, a null id being one of its own.
@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Loop rounds and calls that a render may take, and characters that it may give.
-MAX_STEPS, MAX_CHARS = 10_000_000, 1 << 30
+#: Loop rounds and calls that a render may take, and characters that it may give: so many, and so many more for each
+#: turn and for each character of the conversation. Both are parameters of render; they end templates that run away.
+MAX_STEPS, STEPS_PER_TURN = 10_000_000, 10_000
+MAX_CHARS, CHARS_PER_CHAR = 1 << 30, 64
 
 TEMPLATE = """{% for message in messages %}
 {% if message.role == 'assistant' %}
@@ -569,20 +571,21 @@ def fold(node):
 
 
 class _State:
-    __slots__ = ("scopes", "out", "length", "spans", "steps")
+    __slots__ = ("scopes", "out", "length", "spans", "steps", "most_steps", "most_chars")
 
-    def __init__(self, names: dict):
+    def __init__(self, names: dict, most_steps: float, most_chars: float):
+        self.most_steps, self.most_chars = most_steps, most_chars
         self.scopes, self.out, self.length, self.spans, self.steps = [names], [], 0, [], 0
 
     def write(self, x: str) -> None:
         self.out.append(x)
         self.length += len(x)
-        if self.length > MAX_CHARS:
+        if self.length > self.most_chars:
             raise TemplateError("too much output")
 
     def step(self) -> None:
         self.steps += 1
-        if self.steps > MAX_STEPS:
+        if self.steps > self.most_steps:
             raise TemplateError("too many steps")
 
     def find(self, name: str):
@@ -767,9 +770,11 @@ class Template:
         self.tree = fold(parse(source))
         self.run = statement(self.tree)
 
-    def render(self, **names) -> tuple[str, list[tuple[int, int]]]:
-        """The text, and the spans of it (in characters) that generation blocks gave."""
-        s = _State(names)
+    def render(self, *, max_steps: int = MAX_STEPS, max_chars: int = MAX_CHARS, **names) -> tuple[str, list[tuple[int, int]]]:
+        """The text, and the spans of it (in characters) that generation blocks gave. max_steps and max_chars are what a render may take, beside what each turn of messages adds."""
+        turns = names.get("messages") or ()
+        chars = sum(len(v) for m in turns if isinstance(m, dict) for v in m.values() if isinstance(v, str))
+        s = _State(names, max_steps + STEPS_PER_TURN * len(turns), max_chars + CHARS_PER_CHAR * chars)
         self.run(s)
         return "".join(s.out), s.spans
 
@@ -782,8 +787,8 @@ def compiled(source: str) -> Template:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def render(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", **names) -> DataFrame:
-    """One row for each conversation: (conv_id, n_turns, text, spans, error), spans holding (start, end) in characters of what generation blocks gave. names are given to the template beside messages."""
+def render(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_steps: int = MAX_STEPS, max_chars: int = MAX_CHARS, **names) -> DataFrame:
+    """One row for each conversation: (conv_id, n_turns, text, spans, error), spans holding (start, end) in characters of what generation blocks gave. names are given to the template beside messages; max_steps and max_chars are the sandbox's bounds, beside what each turn adds."""
     compiled(template)
     own = turns.select(*[F.col(f"`{c}`").alias(a) for c, a in ((id_col, "conv_id"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))])
     id_type = own.schema["conv_id"].dataType.simpleString()
@@ -797,7 +802,7 @@ def render(turns: DataFrame, template: str = TEMPLATE, id_col: str = "conv_id",
             talks = batch.column(1).to_pylist()
             for messages in talks:
                 try:
-                    x, found = t.render(messages=messages, **names)
+                    x, found = t.render(messages=messages, max_steps=max_steps, max_chars=max_chars, **names)
                     text.append(x)
                     spans.append([{"start": a, "end": b} for a, b in found])
                     error.append(None)

@@ -75,3 +75,17 @@ def test_frames(spark):
 
 def test_query(spark, medium, against_sql):
     against_sql(chat.op6_chat_format(spark, medium), chat.SQL, medium)
+
+
+def test_the_bounds_grow_with_the_conversation(spark):
+    """Only templates that run away meet the bounds of steps and characters."""
+    turns = [{"role": "user", "content": "x" * 10}] * 300
+    t = chat.Template("{% for m in messages %}{{ m.content | trim }}{% endfor %}")
+    assert t.render(messages=turns, max_steps=0, max_chars=0)[0] == "x" * 3000
+    wild = chat.Template("{% for m in messages %}{% for n in messages %}{% for o in range(100) %}x{% endfor %}{% endfor %}{% endfor %}")
+    with pytest.raises(chat.TemplateError, match="too many steps|too much output"):
+        wild.render(messages=turns, max_steps=0, max_chars=0)
+    df = spark.createDataFrame([(1, k, "user", "y") for k in range(40)], "conv_id bigint, turn int, role string, text string")
+    source = "{% for m in messages %}{% for n in range(20000) %}{% endfor %}{{ m.content }}{% endfor %}"
+    assert chat.render(df, source).first().text == "y" * 40
+    assert "too many steps" in chat.render(df, source, max_steps=10).first().error
