@@ -2,9 +2,9 @@
 
 A URL is brought into one form: scheme, user, port and fragment go, the host becomes
 small letters without outer or doubled dots, the path is unescaped once and its doubled
-slashes become one. It is then expanded into expressions: its host and up to four
-suffixes of it (the last five labels, then fewer, two at least; an IP address only whole), each with the
-path and query, the path, and up to four prefixes of the path that end in a slash. A rule is such an expression,
+slashes become one. It is then expanded into expressions: its host and the
+suffixes of it (two labels at least, and as many as any rule has at most; an IP address only whole), each with the
+path and query, the path, and the prefixes of the path that end in a slash (as deep as any rule at most). A rule is such an expression,
 as ``example.com/`` or ``a.example.com/x/``. Expressions meet rules by the first four bytes
 of their SHA-256 in an equi-join; the full digests must then agree.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: (expression, action, category): the rules of the query.
 RULES = [
     ("adult-x.example.net/", "block", "adult"),
@@ -36,7 +38,13 @@ RULES = [
     ("blog.tionsh.example.com/", "block", "hot host"),
     ("blog.tionsh.example.com/en/", "allow", "reviewed"),
 ]
-SUFFIXES, PREFIXES = 5, 4
+
+
+def reach(rules: DataFrame) -> tuple[int, int]:
+    """The most labels of any rule's host, and the most slashes of any rule's path (rule): no longer expression of a URL can be a rule."""
+    host, path = F.substring_index("rule", "/", 1), F.regexp_extract("rule", "/([^?]*)", 0)
+    found = rules.agg(F.max(F.size(F.split(host, "[.]"))), F.max(F.length(path) - F.length(F.replace(path, F.lit("/"))))).first()
+    return found[0] or 0, found[1] or 0
 
 
 def prepared(rules: DataFrame) -> DataFrame:
@@ -63,16 +71,16 @@ def path_of(url: Column) -> Column:
     return F.concat(F.regexp_replace(F.concat(F.lit("/"), plain), "/{2,}", "/"), query)
 
 
-def expressions(url: Column) -> Column:
-    """All expressions of a URL; none if it has no host."""
+def expressions(url: Column, labels_most: int, slashes_most: int) -> Column:
+    """The expressions of a URL, with suffixes and prefixes up to so many labels and slashes; none if it has no host."""
     host, full = host_of(url), path_of(url)
     labels = F.split(host, "[.]")
-    # each of 5, 4, 3 and 2 labels that are fewer than all
+    # of so many labels, fewer than all
     suffix = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    few = F.transform(F.filter(F.array(*map(F.lit, range(SUFFIXES, 1, -1))), lambda n: (n < F.size(labels)) & ~host.rlike(r"^[0-9.]+$")), suffix)
+    few = F.transform(F.filter(F.array(*map(F.lit, range(labels_most, 1, -1))).cast("array<int>"), lambda n: (n < F.size(labels)) & ~host.rlike(r"^[0-9.]+$")), suffix)
     path = F.regexp_extract(full, r"^([^?]*)", 1)
     parts = F.split(F.substring(path, 2, 1 << 30), "/")
-    deep = F.least(F.size(parts), F.lit(PREFIXES))
+    deep = F.least(F.size(parts), F.lit(max(1, slashes_most)))
     ends = F.transform(F.sequence(F.lit(1), deep), lambda k: F.when(k == 1, F.lit("/")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k - 1), "/"), F.lit("/"))))
     hosts = F.array_distinct(F.concat(F.array(host), few))
     paths = F.array_distinct(F.concat(F.array(full, path), ends))
@@ -82,9 +90,10 @@ def expressions(url: Column) -> Column:
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url) to one row (url, rule, action, category) of the rule that counts for each distinct URL that matches any. The rules are broadcast if Spark knows them to be small, else both sides are shuffled by hash prefix."""
-    wide = urls.select("url", F.explode(expressions(F.col("url"))).alias("expression"))
+    known = cut(prepared(rules), "rules")
+    wide = urls.distinct().select("url", F.explode(expressions(F.col("url"), *reach(known))).alias("expression"))
     hashed = wide.select("url", F.unhex(F.sha2("expression", 256)).alias("digest")).withColumn("prefix", F.substring("digest", 1, 4))
-    found = hashed.join(prepared(rules), "prefix").where(F.col("digest") == F.col("rule_digest"))
+    found = hashed.join(known, "prefix").where(F.col("digest") == F.col("rule_digest"))
     best = found.groupBy("url").agg(F.min(F.struct("precedence", "rule", "action", "category")).alias("best"))
     return best.select("url", "best.rule", "best.action", "best.category")
 

@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urlsplit
 
 import pytest
@@ -5,20 +6,20 @@ import pytest
 from skeinwork.llm import urlfilter as U
 
 
-def forms(url):
+def forms(url, most=5, deep=4):
     """The expressions of a plain URL, by brute force."""
     u = urlsplit(url)
     host, path, query = u.hostname, u.path or "/", "?" + u.query if u.query else ""
     labels = host.split(".")
-    hosts = {host} | {".".join(labels[-n:]) for n in range(2, 6) if n < len(labels) and not host.replace(".", "").isdigit()}
+    hosts = {host} | {".".join(labels[-n:]) for n in range(2, most + 1) if n < len(labels) and not host.replace(".", "").isdigit()}
     parts = path[1:].split("/")
-    paths = {path + query, path} | {"/" + "".join(p + "/" for p in parts[:k]) for k in range(min(4, len(parts)))}
+    paths = {path + query, path} | {"/" + "".join(p + "/" for p in parts[:k]) for k in range(min(deep, len(parts)))}
     return {h + p for h in hosts for p in paths}
 
 
 @pytest.mark.parametrize("url", ["http://a.b.c.d.e.f.g/1.html?q=1", "http://a.b/x/y/z/w/v.html", "https://10.0.0.1/a/b?c", "http://x.org", "http://x.org?q", "http://a.example.com/x/y/"])
 def test_expressions(spark, url):
-    got = spark.createDataFrame([(url,)], "url string").select(U.expressions(U.F.col("url")).alias("e")).first().e
+    got = spark.createDataFrame([(url,)], "url string").select(U.expressions(U.F.col("url"), 5, 4).alias("e")).first().e
     assert set(got) == forms(url) and len(got) == len(set(got))
 
 
@@ -36,5 +37,25 @@ def test_precedence_and_odd_rows(spark):
     assert {r.category for r in U.judge(pages, rules).where("rule = 'e.com/'").collect()} == {"a"}
 
 
+def test_rules_of_any_depth_against_brute_force(spark):
+    """Hundreds of rules, some with many labels and folders, against the expressions of each URL."""
+    rng = random.Random(5)
+    host = lambda n: ".".join(rng.choice("abc") for _ in range(n)) + ".com"
+    path = lambda n: "/" + "".join(rng.choice("xy") + "/" for _ in range(n))
+    urls = [f"http://{host(rng.randint(1, 9))}{path(rng.randint(0, 9))}{rng.choice(['', 'p.html', 'p.html?q=1'])}" for _ in range(400)]
+    rules = {(host(rng.randint(1, 4)) + path(rng.randint(0, 3)), rng.choice(["allow", "block"]), "c") for _ in range(300)}
+    for u in rng.sample(urls, 60):  # rules that are parts of URLs, some whole
+        rules.add((rng.choice(sorted(forms(u, 99, 99))), rng.choice(["allow", "block"]), "c"))
+    rank = lambda r: (-r[0].split("/")[0].count("."), -len(r[0].split("/", 1)[1]), r[1], r[0])
+    want = {}
+    for k, u in enumerate(urls):
+        e = forms(u, 99, 99)
+        best = min((r for r in rules if r[0] in e), key=rank, default=None)
+        want[k] = (best[1], best[0]) if best else ("pass", None)
+    got = U.judge(spark.createDataFrame(list(enumerate(urls)) + [(len(urls), urls[0])], "page_id bigint, url string"), U.rule_frame(spark, sorted(rules)))
+    assert {r.page_id: (r.verdict, r.rule) for r in got.collect()} == want | {len(urls): want[0]}
+    assert len({x for x in want.values() if x[1]}) > 60
+
+
 def test_query(spark, medium, against_sql):
     against_sql(U.op7_url_filter(spark, medium), U.SQL, medium)
