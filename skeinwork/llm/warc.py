@@ -1,10 +1,13 @@
 """A deterministic sharded WARC writer.
 
-Pages are range-sorted by URL, id and payload digest. Each becomes a gzip member of its own:
+Each page becomes a gzip member of its own:
 a WARC/1.1 response record whose HTTP headers, lengths, SHA-1 digests and record id
-are made anew from the page alone. The files roll by compressed size: a record
+are made anew from the page alone. Records are ordered by URL, id and payload digest; only these keys and the records' sizes
+are range-sorted. The files roll by compressed size: a record
 belongs to the file in whose stretch of FILE_BYTES, counted over all records in
 order, it begins. So the files' bytes depend on the rows only, not on partitions.
+The first key of each file, of which there are as many as files, tells every task where a record belongs, and
+the compressed records are shuffled once, to as many tasks as there are files.
 
 Each task writes its files under temporary names that hold the attempt; the index of
 what succeeded is written to the shared folder; then files that it names are renamed, and
@@ -15,7 +18,7 @@ leave temporary files only, which the commit removes.
 Defined results: rows without html (null) give no record and no index row; an empty
 html gives a record without payload. A null or empty URL is written as about:blank
 and sorts last. Control characters and spaces in URLs are percent-encoded. Repeated rows
-each get a record; the record id counts them. Extra columns take no part. An empty
+each get a record; the record id counts them, and they are counted before they are shuffled. Extra columns take no part. An empty
 table gives a manifest without files.
 """
 
@@ -26,6 +29,7 @@ import gzip
 import hashlib
 import re
 import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, drop_path, new_path
+from .shared import bloom, cut, drop_path, lean, new_path
 
 #: Compressed bytes after which the next file begins.
 FILE_BYTES = 256 << 20
@@ -42,6 +46,8 @@ FILE_BYTES = 256 << 20
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 6
 MANIFEST = "_manifest"
+#: Copies of a page that one task makes at a time.
+_BLOCK = 10_000
 _SPACE = uuid.UUID("5b0d1c0e-8f2a-5f0e-9a43-3f0a7c9d2b11")
 
 
@@ -84,33 +90,46 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+_KEY = ["url", "page_id", "digest", "copy"]
+
+
 def _compress(date: str):
-    """Sorted rows (url, page_id, digest, html) to (part, begin, page_id, url, payload, size, record), begin being where the record begins in the part."""
+    """Rows (url, page_id, digest, copy, html) to (url, page_id, digest, copy, payload, size, record)."""
 
     def run(batches):
-        part, begin, last, copy = TaskContext.get().partitionId(), 0, None, 0
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for key, html in zip(zip(*(batch.column(c).to_pylist() for c in range(3))), batch.column(3).cast(pa.binary())):
-                copy = copy + 1 if key == last else 0
-                last = key
-                gz, payload = page_record(key[1], key[0], html.as_py(), copy, date)
-                out.append((part, begin, key[1], key[0], payload, len(gz), gz))
-                begin += len(gz)
-                size += len(gz)
-                if size > 1 << 24:
-                    yield _batch(out, batch.schema.field(1).type)
-                    out, size = [], 0
-            if out:
-                yield _batch(out, batch.schema.field(1).type)
+            keys = [batch.column(c).to_pylist() for c in range(4)]
+            done, size, begin = [], 0, 0
+            for k, html in enumerate(batch.column(4).cast(pa.binary())):
+                done.append(page_record(keys[1][k], keys[0][k], html.as_py(), keys[3][k], date))
+                size += len(done[-1][0])
+                if size > 1 << 24 or k + 1 == len(batch):
+                    gz, payload = zip(*done)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c)[begin : k + 1] for c in range(4)), pa.array(payload, pa.string()), pa.array(list(map(len, gz)), pa.int64()), pa.array(gz, pa.binary())], names=[*_KEY, "payload", "size", "record"])
+                    done, size, begin = [], 0, k + 1
 
     return run
 
 
-def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), id_type, pa.string(), pa.string(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "begin", "page_id", "url", "payload", "size", "record"])
+def _place(url, page_id, digest, copy) -> tuple:
+    """A record's place among all, as Spark orders them: without URL last, nulls last."""
+    return not url, url is None, url or "", page_id is None, page_id if page_id is not None else 0, digest, copy
+
+
+def _numbered(own: DataFrame, page: list[str]) -> DataFrame:
+    """own (url, page_id, digest, html) with copy, which counts rows that are equal in page, from 0. Only keys of rows that have copies are shuffled with their html, once each."""
+    several = cut(own.groupBy(*page).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    known = several.count()
+    if not known:
+        return own.withColumn("copy", F.lit(0).cast("bigint"))
+    key = F.xxhash64(*page)
+    may_be = bloom(several.select(key.alias("key")), known)
+    some = own.where(may_be(key)).groupBy(*page).agg(F.count("*").alias("n"), F.any_value("html").alias("html"))
+    # a page with very many copies is spread before they are made
+    blocks = some.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(_BLOCK)))).repartition(*page, "first")
+    made = blocks.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _BLOCK, F.col("n")) - 1)))
+    columns = [*page, "html", "copy"]
+    return own.where(~may_be(key)).withColumn("copy", F.lit(0).cast("bigint")).select(*columns).unionByName(made.select(*columns))
 
 
 def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -121,22 +140,51 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str =
         raise FileExistsError(f"{path} is committed already")
     own = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{id_col}`").alias("page_id"), F.sha1(F.col(f"`{html_col}`").cast("binary")).alias("digest"), F.col(f"`{html_col}`").alias("html")).where("html IS NOT NULL")
     id_type = own.schema["page_id"].dataType.simpleString()
-    order = [(F.coalesce("url", F.lit("")) == "").asc(), F.col("url").asc_nulls_last(), F.col("page_id").asc_nulls_last(), F.col("digest")]
-    ranged = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    records = cut(ranged.mapInArrow(_compress(date), f"part int, begin bigint, page_id {id_type}, url string, payload string, size bigint, record binary"), "warc-records")
-    before, starts = 0, []
-    for r in records.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect():  # a row for each task
-        starts.append((r["part"], before))
+    shape = f"url string, page_id {id_type}, digest string, copy bigint"
+    made = _numbered(own, _KEY[:3]).select(*_KEY, "html").mapInArrow(lean(_compress(date)), f"{shape}, payload string, size bigint, record binary")
+    records = cut(made, "warc-records")
+    order = [(F.coalesce("url", F.lit("")) == "").asc(), F.col("url").asc_nulls_last(), F.col("page_id").asc_nulls_last(), F.col("digest"), F.col("copy")]
+    keys = records.select(*_KEY, "size").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def begin(batches):
+        """Where each record begins among those of the task."""
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column(4).to_numpy()
+            ends = at + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.full(len(size), part, np.int32)), pa.array(ends - size), pa.array(ends)], names=[*_KEY, "part", "begin", "end"])
+            at = int(ends[-1]) if len(size) else at
+
+    sorted_ = cut(keys.mapInArrow(begin, f"{shape}, part int, begin bigint, end bigint"), "warc-order")
+    before, starts = 0, {}
+    for r in sorted_.groupBy("part").agg(F.max("end").alias("size")).orderBy("part").collect():  # a row for each task
+        starts[r["part"]] = before
         before += r["size"]
-    parts, offsets = np.array([p for p, _ in starts], np.int64), np.array([b for _, b in starts], np.int64)
+
+    def first_of_files(batches):
+        """The first records of files, and of each batch."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            base = np.array([starts[p] for p in batch.column(4).to_pylist()], np.int64)
+            number = (base + batch.column(5).to_numpy()) // file_bytes
+            new = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+            some = batch.take(pa.array(new))
+            yield pa.RecordBatch.from_arrays([pa.array(number[new]), pa.array((base + batch.column(5).to_numpy())[new]), *some.columns[:4]], names=["number", "at", *_KEY])
+
+    heads = sorted_.mapInArrow(first_of_files, f"number bigint, at bigint, {shape}")
+    heads = heads.groupBy("number").agg(F.min_by(F.struct(*_KEY), "at").alias("k")).orderBy("number").collect()  # a row for each file
+    numbers, places = [r["number"] for r in heads], [_place(*r["k"]) for r in heads]
+    shared = spark.sparkContext.broadcast((np.array(numbers, np.int64), places))
 
     def number(batches):
-        """The file of each record, and where it begins among all."""
+        """The file of each record."""
+        numbers, places = shared.value
         for batch in batches:
-            at = offsets[np.searchsorted(parts, batch.column(0).to_numpy())] + batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array((at // file_bytes).astype(np.int64)), pa.array(at), *batch.columns[2:]], names=["number", "at", "page_id", "url", "payload", "size", "record"])
+            at = [bisect_right(places, _place(*k)) - 1 for k in zip(*(batch.column(c).to_pylist() for c in range(4)))]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at]) if len(at) else pa.array([], pa.int64()), pa.array(at, pa.int32()), *batch.columns], names=["number", "nth", *batch.schema.names])
 
-    placed = records.mapInArrow(number, f"number bigint, at bigint, page_id {id_type}, url string, payload string, size bigint, record binary")
+    placed = records.mapInArrow(lean(number), f"number bigint, nth int, {shape}, payload string, size bigint, record binary")
 
     def save(batches):
         task = TaskContext.get()
@@ -149,7 +197,7 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str =
                 if not len(batch):
                     continue
                 names, offs, temps = [], [], []
-                for n, gz in zip(batch.column(0).to_pylist(), batch.column(6)):
+                for n, gz in zip(batch.column(0).to_pylist(), batch.column(4)):
                     if n != now:
                         if stream:
                             stream.close()
@@ -164,13 +212,14 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str =
                     offs.append(offset)
                     temps.append(temporary)
                     offset += len(gz.as_buffer())
-                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(names), pa.array(offs, pa.int64()), batch.column(5), batch.column(4), pa.array(temps)], names=["page_id", "url", "file", "offset", "length", "payload", "temporary"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(names), pa.array(offs, pa.int64()), batch.column(5), batch.column(3), pa.array(temps)], names=["page_id", "url", "file", "offset", "length", "payload", "temporary"])
         finally:
             if stream:
                 stream.close()
 
-    files = placed.repartition("number").sortWithinPartitions("number", "at")
-    index = cut(files.mapInArrow(save, f"page_id {id_type}, url string, file string, offset bigint, length bigint, payload string, temporary string"), "warc-index")
+    tasks = max(1, len(heads))
+    files = placed.repartitionById(tasks, "nth").sortWithinPartitions("number", *order).select("number", "page_id", "url", "payload", "record", "size")
+    index = cut(files.mapInArrow(lean(save), f"page_id {id_type}, url string, file string, offset bigint, length bigint, payload string, temporary string"), "warc-index")
     _commit(spark, path, index)
     return index.drop("temporary")
 
