@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by an inverted file with product quantisation.
 
-Every vector is a query; the measure is cosine similarity. Vectors are normalised and
-assigned to coarse centroids (Lloyd's rounds over all rows). What is left of a vector
-is cut into parts, each coded by the nearest of 256 codewords (Lloyd's over all rows).
+All rows that a condition holds for are queries (op1_ann: those whose id is divisible by 20), and all rows are searched; the
+measure is cosine similarity. Vectors are normalised and
+assigned to coarse centroids. What is left of a vector
+is cut into parts, each coded by the nearest of 256 codewords. Both are fitted by Lloyd's rounds
+over FIT rows a centroid, chosen by hash (over all rows of a smaller table); every row is indexed.
 A query's tables hold the product of each of its parts with each codeword, and a
 code's score is the sum of what its bytes look up. The best codes are reranked with
 the vectors themselves; so are all whose score, with the most that quantisation may have taken
@@ -33,7 +35,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import binary_array, cut, raw_bytes
@@ -45,6 +47,12 @@ TARGET = 0.96
 MAX_LISTS = 1 << 16
 PARTS, CODES = 16, 256
 COARSE_ROUNDS, CODE_ROUNDS = 6, 4
+#: Rows for each centroid or codeword that the index is fitted to, or so: the bound of the sample.
+FIT = 64
+#: Bytes of vectors and codes of a shard, or so; there are no fewer shards than shuffle partitions.
+SHARD_BYTES = 32 << 20
+#: Values of a block of products with centroids.
+BLOCK_VALUES = 1 << 21
 #: Codes that are reranked first in each shard, for each neighbour wanted; they tell how far the others must be looked at.
 RERANK = 6
 #: A list with so many times the mean number of vectors is split.
@@ -66,7 +74,8 @@ def _rows(x: np.ndarray) -> pa.Array:
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid of each row; of equally near ones the first."""
     half = (centroids * centroids).sum(1) / 2
-    return np.concatenate([np.argmax(x[i : i + _BLOCK] @ centroids.T - half, 1) for i in range(0, len(x), _BLOCK)]) if len(x) else np.zeros(0, np.int64)
+    step = max(1, BLOCK_VALUES // len(centroids))
+    return np.concatenate([np.argmax(x[i : i + step] @ centroids.T - half, 1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 def _tail(z: np.ndarray) -> np.ndarray:
@@ -77,9 +86,9 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.where(z > 0, p, 1 - p)
 
 
-def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(uid, vec_id, v) of the usable vectors, v being the normalised components as bytes, and their number of components."""
-    own = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("x"))
+def prepared(vectors: DataFrame, id_col: str, vec_col: str, asks: Column) -> tuple[DataFrame, int]:
+    """(uid, vec_id, v, asks) of the usable vectors, v being the normalised components as bytes, and their number of components."""
+    own = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("x"), F.coalesce(asks, F.lit(False)).alias("asks"))
     sizes = own.where("size(x) > 0").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = sizes.d if sizes else 1
 
@@ -92,9 +101,9 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame,
             good = np.isfinite(largest) & (largest > 0)
             x = x[good] / largest[good][:, None]
             x /= np.sqrt((x * x).sum(1))[:, None]
-            yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(good)), _rows(x.astype(np.float32))], names=["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(good)), _rows(x.astype(np.float32)), some.column(2).filter(pa.array(good))], names=["vec_id", "v", "asks"])
 
-    rows = own.mapInArrow(unit, f"vec_id {own.schema['vec_id'].dataType.simpleString()}, v binary")
+    rows = own.mapInArrow(unit, f"vec_id {own.schema['vec_id'].dataType.simpleString()}, v binary, asks boolean")
     return cut(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors"), d
 
 
@@ -199,12 +208,15 @@ def _parts(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def build(rows: DataFrame, d: int, shards: int) -> Index | None:
-    """Fits an index to all rows (uid, vec_id, v)."""
+    """Fits an index to rows (uid, vec_id, v): centroids and codewords to FIT rows for each, sizes and spreads of lists to all. It has shards shards at least."""
     spark = rows.sparkSession
     n = rows.count()
     if not n:
         return None
     lists = max(1, min(MAX_LISTS, round(math.sqrt(n))))
+    shards = max(shards, math.ceil(n * (4 * d + 64) / SHARD_BYTES))
+    every = n // (FIT * max(lists, CODES))
+    some = rows if every <= 1 else cut(rows.where(F.pmod(F.xxhash64("v", "uid"), F.lit(every)) == 0).select("v"), "fitted")
     start = rows.orderBy(F.xxhash64("v", "uid"), "uid").limit(2 * max(lists, CODES)).select("v").toArrow()["v"].combine_chunks()
     seeds = _matrix(start, d)
     seeds = seeds[np.sort(np.unique(seeds, axis=0, return_index=True)[1])]
@@ -217,7 +229,7 @@ def build(rows: DataFrame, d: int, shards: int) -> Index | None:
             for x in _all(batches, d):
                 yield _groups(nearest(x, now.value), x)
 
-        key, count, total = _summed(rows.select("v").mapInArrow(assign, "key bigint, n bigint, s binary"), d)
+        key, count, total = _summed(some.select("v").mapInArrow(assign, "key bigint, n bigint, s binary"), d)
         centroids = centroids.copy()
         centroids[key] = (total / count[:, None]).astype(np.float32)
 
@@ -235,7 +247,7 @@ def build(rows: DataFrame, d: int, shards: int) -> Index | None:
                 for j in range(parts):
                     yield _groups(nearest(rest[:, j], now.value[j]) + j * codes, rest[:, j])
 
-        key, count, total = _summed(rows.select("v").mapInArrow(assign_parts, "key bigint, n bigint, s binary"), width)
+        key, count, total = _summed(some.select("v").mapInArrow(assign_parts, "key bigint, n bigint, s binary"), width)
         words = words.copy()
         words.reshape(-1, width)[key] = (total / count[:, None]).astype(np.float32)
 
@@ -321,10 +333,10 @@ def _best(index: Index, d: int, k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """The k nearest other rows of every row: (vec_id, neighbour_id, rank, similarity), rank from 1."""
+def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding", asks: Column | None = None) -> DataFrame:
+    """The k nearest other rows of every row that asks (of every row, by default): (vec_id, neighbour_id, rank, similarity), rank from 1."""
     spark = vectors.sparkSession
-    rows, d = prepared(vectors, id_col, vec_col)
+    rows, d = prepared(vectors, id_col, vec_col, F.lit(True) if asks is None else asks)
     id_type = rows.schema["vec_id"].dataType.simpleString()
     index = build(rows, d, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if index is None:
@@ -341,15 +353,19 @@ def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET, id_col: s
                 base = nearest(x, ix.centroids)
                 own = ix.first[base] + uid % ix.split[base]
                 yield pa.RecordBatch.from_arrays([pa.array(ix.shard[own]), pa.array(np.zeros(len(x), np.int32)), some.column(0), some.column(1), _rows(own.astype(np.int32)[:, None]), _rows(ix.codes(x, base)), some.column(2)], names=["shard", "kind", "uid", "vec_id", "list", "code", "v"])
-                q, lists = np.nonzero(ix.probed(x, k, target)[:, ix.parent])
-                key = q * ix.shards + ix.shard[lists]
-                order = np.argsort(key, kind="stable")
-                pairs, first = np.unique(key[order], return_index=True)
-                bounds = np.append(first, len(key)) * 4
-                row = pa.array(pairs // ix.shards)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs % ix.shards), pa.array(np.ones(len(pairs), np.int32)), some.column(0).take(row), pa.nulls(len(pairs), some.schema.field(1).type), binary_array(lists[order].astype(np.int32).view(np.uint8), bounds), pa.nulls(len(pairs), pa.binary()), some.column(2).take(row)], names=["shard", "kind", "uid", "vec_id", "list", "code", "v"])
-
-    sent = rows.select("uid", "vec_id", "v").mapInArrow(send, shape)
+                asking = np.flatnonzero(some.column(3).to_numpy(zero_copy_only=False))
+                step = max(1, BLOCK_VALUES // len(ix.centroids))
+                for a in range(0, len(asking), step):
+                    now = asking[a : a + step]
+                    q, lists = np.nonzero(ix.probed(x[now], k, target)[:, ix.parent])
+                    key = q * ix.shards + ix.shard[lists]
+                    order = np.argsort(key, kind="stable")
+                    pairs, first = np.unique(key[order], return_index=True)
+                    bounds = np.append(first, len(key)) * 4
+                    row = pa.array(now[pairs // ix.shards])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs % ix.shards), pa.array(np.ones(len(pairs), np.int32)), some.column(0).take(row), pa.nulls(len(pairs), some.schema.field(1).type), binary_array(lists[order].astype(np.int32).view(np.uint8), bounds), pa.nulls(len(pairs), pa.binary()), some.column(2).take(row)], names=["shard", "kind", "uid", "vec_id", "list", "code", "v"])
+
+    sent = rows.select("uid", "vec_id", "v", "asks").mapInArrow(send, shape)
     met = sent.repartitionById(index.shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind")
     found = met.mapInArrow(lambda batches: _best(shared.value, d, k)(batches), f"query bigint, neighbour_id {id_type}, neighbour bigint, similarity double")
     item = F.struct((-F.col("similarity")).alias("far"), F.col("neighbour_id").isNull().alias("last"), F.col("neighbour_id").alias("id"), F.col("neighbour").alias("row"))
@@ -360,4 +376,5 @@ def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET, id_col: s
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The neighbours, among all vectors, of those whose id is divisible by 20."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), asks=F.col("vec_id") % 20 == 0)
