@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_PLACES = {"Pack": ".plans.pack", "build": ".plans.pack", "pack_folder": ".plans.pack", "write": ".plans.pack", "converter": ".sources.files", "register": ".sources.files", "supported_extensions": ".sources.files"}
+_PLACES = {"ChunkResult": ".results", "ConvertResult": ".results", "DocumentMetadata": ".results", "chunk": ".results", "convert": ".results", "Pack": ".plans.pack", "build": ".plans.pack", "pack_folder": ".plans.pack", "write": ".plans.pack", "converter": ".sources.files", "register": ".sources.files", "supported_extensions": ".sources.files"}
 __all__ = sorted(_PLACES)
 
 

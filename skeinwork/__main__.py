@@ -21,18 +21,19 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-m", "--mode", choices=("fast", "scientific"), default="fast", help="PDF engine")
     p.add_argument("--chunk-size", type=int, default=500)
     p.add_argument("--chunk-by", choices=("heading", "tokens"), default="heading")
-    p.add_argument("--encoding", choices=(ESTIMATE, *ENCODINGS), default=ESTIMATE, help="token counter")
+    p.add_argument("--encoding", default=ESTIMATE, help=f"token counter: {', '.join((ESTIMATE, *ENCODINGS))}, or the path of a vocabulary")
+    p.add_argument("--cache", help="folder in which vectors are kept for the next run (default: none are)")
     return p
 
 
 def main(args: list[str] | None = None) -> int:
     logging.basicConfig(format="%(message)s", level=logging.INFO, stream=sys.stderr)
     o = parser().parse_args(args)
-    out = pack.free_folder(o.output or o.folder.rstrip("/") + "-context")
     try:
         pack.resolve_agents(o.agent or ["claude"])
         spark = SparkSession.builder.appName("skeinwork").getOrCreate()
-        pack.pack_folder(spark, o.folder, out, o.agent, o.chunk_by, o.chunk_size, o.encoding, o.mode)
+        out = pack.free_folder(spark, o.output or o.folder.rstrip("/") + "-context")
+        pack.pack_folder(spark, o.folder, out, o.agent, o.chunk_by, o.chunk_size, o.encoding, o.mode, o.cache)
     except (ImportError, ValueError) as e:
         logging.error("error: %s", e)
         return 1

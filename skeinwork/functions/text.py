@@ -1,8 +1,8 @@
 """Tokens, headings and other text functions.
 
 Character classes are written out, since regular expressions of Java, RE2 and Python
-differ in what a word character is. Null texts give nulls. These functions expect
-texts in NFKC; nfkc() makes them so.
+differ in what a word character is. Null texts give nulls. tokens() brings texts into
+NFKC first, so that ligatures and full-width letters are plain ones.
 """
 
 from __future__ import annotations
@@ -13,31 +13,34 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import MARKS, RULE
+from .vocabulary import LOW_SIGNAL, NOISE_TOKENS, SHORT_TOKENS, STOPWORDS
+
 WORD = r"[\p{L}\p{Nl}\p{No}][\p{L}\p{N}_-]*"
 ROMAN = "^[ivxlcdm]+$"
 DIGITS = r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$"
 #: White space as Python's strip() sees it.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
-STOPWORDS = sorted(
-    "txt text table section notes notice markdown like introduction index html figure contents overview her him his guide document documents com abstract appendix any all "
-    "license foundation copyright ebooks ebook gutenberg project been before after less more also then than they them their our its you but not new via per used using use "
-    "might may could can should would will who why where when what how had has have were was are about your into from this that with for unión union unas unos uno una "
-    "regulations regulation reglamentos reglamento que presentes presente present por parliament parlamento para los las leyes ley estas estos este esta europeos europeo europeas european europea "
-    "dos directives directive des del de council consejo con commission clauses clause by at as and the artículos artículo articulos articulo articles article al an a".split()
-)
-#: Terms of boilerplate; a text with four of them says little.
-LOW_SIGNAL = sorted("trademark project license gutenberg foundation ebooks ebook donations donate copyright archive".split())
-GENERIC_ANCHORS = sorted("version txt text table section pdf overview notice markdown introduction index html figure contents chapter appendix abstract".split())
-SHORT_TOKENS = sorted("ux us uk ui sdk ml id eu db api ai".split())
-NOISE_TOKENS = sorted("txt png pdf md json jpg jpeg html docx doc".split())
+def _unchanged() -> str:
+    """A class of characters of which no text is changed by NFKC: those of Latin, Greek and Cyrillic letters, dashes and quotes, kana and Han that stay what they are and don't combine."""
+    stays = lambda c: unicodedata.normalize("NFKC", chr(c)) == chr(c) and unicodedata.category(chr(c))[0] != "M"
+    some = [c for first, last in ((0, 0x52F), (0x2010, 0x201F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF)) for c in range(first, last + 1) if stays(c)]
+    begin = [c for k, c in enumerate(some) if not k or some[k - 1] != c - 1]
+    end = [c for k, c in enumerate(some) if k + 1 == len(some) or some[k + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(begin, end)) + "]"
+
+
+CHANGED = "[^" + _unchanged()[1:]
 
 
 def nfkc(text: Column) -> Column:
+    """text in NFKC. Only texts that it may change leave the JVM."""
+
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in col.to_pylist()], pa.string())
+        return pa.array([x if x is None else unicodedata.normalize("NFKC", x) for x in col.to_pylist()], pa.string())
 
-    return run(text)
+    return F.coalesce(run(F.when(text.rlike(CHANGED), text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -59,7 +62,7 @@ def is_token(x: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Content words, in order, with repeats."""
-    return F.filter(find_all(F.lower(text), WORD), is_token)
+    return F.filter(find_all(F.lower(nfkc(text)), WORD), is_token)
 
 
 def dedupe(values: Column) -> Column:
@@ -87,8 +90,8 @@ def fallback_samples(chunk_headings: Column, limit: int = 4) -> Column:
     return F.slice(F.array_distinct(clean), 1, limit)
 
 
-ATX = r"(?md)^#{1,6}(?:\s+)(.+)$"
-SETEXT = r"(?md)^(.+)\n([-=]{2,})\s*$"
+ATX = rf"(?md)^{MARKS}\s+(.+)$"
+SETEXT = rf"(?md)^(.+)\n{RULE}\s*$"
 
 
 def chunk_heading(chunk: Column, fallback: Column) -> Column:

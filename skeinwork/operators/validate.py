@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def corpus_errors(spark: SparkSession, folder: str, expected: DataFrame | None = None) -> DataFrame:
+    """What keeps a folder from being a corpus, (error, path): it isn't there, isn't a folder, has no file of a known format, or lacks expected (original_source) files, which are told by their names alone."""
+    from ..sources import files
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    error = "missing_source_dir" if not fs.exists(path) else "not_a_directory" if not fs.getFileStatus(path).isDirectory() else None
+    if error is None:
+        names = files.discover(spark, folder).select(F.element_at(F.split("original_source", "/"), -1).alias("original_source"))
+        if not names.isEmpty():
+            absent = spark.createDataFrame([], "original_source string") if expected is None else missing_documents(names, expected)
+            return absent.select(F.lit("missing_expected_document").alias("error"), F.col("original_source").alias("path"))
+        error = "no_supported_files"
+    return spark.createDataFrame([(error, folder)], "error string, path string")
+
+
 def missing_documents(documents: DataFrame, expected: DataFrame) -> DataFrame:
     """The expected (original_source) that aren't there, each once, in order."""
     return expected.select("original_source").distinct().join(documents.select("original_source"), "original_source", "left_anti").orderBy("original_source")

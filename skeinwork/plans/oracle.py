@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
-from ..functions import references as R
-from ..functions import text as T
+import re
+
 from .corpus import CONTENT, FULL, SOURCE
 
 SQL: dict[str, str] = {}
 
 
-def _list(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-STOP, LOW, GENERIC_A, SHORT, NOISE, GENERIC_S = map(_list, (T.STOPWORDS, T.LOW_SIGNAL, T.GENERIC_ANCHORS, T.SHORT_TOKENS, T.NOISE_TOKENS, R.GENERIC))
+def _list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+# the oracle's own copies of the interface's word sets and of what a word is
+STOP = _list(
+    "a about abstract after al all also an and any appendix are article articles articulo articulos artículo artículos as at been before but by can clause "
+    "clauses com commission con consejo contents copyright could council de del des directive directives document documents dos ebook ebooks esta estas "
+    "este estos europea european europeas europeo europeos figure for foundation from guide gutenberg had has have her him his how html index into "
+    "introduction its las less ley leyes license like los markdown may might more new not notes notice our overview para parlamento parliament per por "
+    "present presente presentes project que reglamento reglamentos regulation regulations section should table text than that the their them then they this "
+    "txt una unas union unión uno unos use used using via was were what when where who why will with would you your"
+)
+LOW = _list(
+    "archive copyright donate donations ebook ebooks foundation gutenberg license project trademark"
+)
+GENERIC_A = _list(
+    "abstract appendix chapter contents figure html index introduction markdown notice overview pdf section table text txt version"
+)
+SHORT = _list(
+    "ai api db eu id ml sdk ui uk us ux"
+)
+NOISE = _list(
+    "doc docx html jpeg jpg json md pdf png txt"
+)
+GENERIC_S = _list(
+    "a all and any appendix ascii before chapter chorus copyright distribute e.g ebook etc first full gutenberg i.e king license prince project queen "
+    "second start the u.s war"
+)
+WORD = r"[\p{L}\p{Nl}\p{No}][\p{L}\p{N}_-]*"
+SUFFIXES = "md|markdown|txt|pdf|docx|htm|html|py|js|jsx|ts|tsx|json|yml|yaml|toml|ini|cfg|csv|sql|ipynb"
+ROMAN = "M{0,4}(CM|CD|DC{0,3}|C{0,3})(XC|XL|LX{0,3}|X{0,3})(IX|IV|VI{0,3}|I{0,3})"
 WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 DIGITS = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]+"
 
@@ -27,7 +54,7 @@ def is_token(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({x}), '{T.WORD}'), lambda x: {is_token('x')})"
+    return f"list_filter(regexp_extract_all(lower({x}), '{WORD}'), lambda x: {is_token('x')})"
 
 
 def estimate(x: str) -> str:
@@ -66,7 +93,7 @@ def stem(x: str) -> str:
 def search_tokens(x: str) -> str:
     raw = rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)*'), lambda r: regexp_matches(r, '[-\p{{Nd}}]'))"
     parts = rf"flatten(list_transform({raw}, lambda r: regexp_extract_all(r, '[\p{{L}}\p{{Nl}}\p{{No}}]+|\p{{Nd}}+')))"
-    fragment = rf"f <> '' AND NOT list_contains({NOISE}, f) AND CASE WHEN regexp_full_match(f, '\p{{Nd}}+') THEN length(f) >= 2 ELSE list_contains({SHORT}, f) OR (regexp_full_match(f, '{T.WORD}') AND {is_token('f')}) END"
+    fragment = rf"f <> '' AND NOT list_contains({NOISE}, f) AND CASE WHEN regexp_full_match(f, '\p{{Nd}}+') THEN length(f) >= 2 ELSE list_contains({SHORT}, f) OR (regexp_full_match(f, '{WORD}') AND {is_token('f')}) END"
     return f"list_concat(list_transform({tokens(x)}, lambda t: {stem('t')}), list_filter(list_transform({parts}, lambda t: {stem('t')}), lambda f: {fragment}))"
 
 
@@ -74,7 +101,8 @@ SQL["search_tokens"] = f"WITH {NOTES} SELECT doc_id, pos::INT AS pos, term FROM
 
 
 def low_signal(x: str) -> str:
-    return rf"(contains(lower({x}), 'project gutenberg') OR len(list_filter({LOW}, lambda t: regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}_])' || t || '($|[^\p{{L}}\p{{N}}_])'))) >= 4)"
+    hits = " + ".join(rf"regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}_]){t}($|[^\p{{L}}\p{{N}}_])')::INT" for t in re.findall("[a-z]+", LOW))
+    return f"(contains(lower({x}), 'project gutenberg') OR {hits} >= 4)"
 
 
 SQL["low_signal_flags"] = f"WITH {NOTES} SELECT doc_id, {low_signal('content')} AS low_signal FROM notes"
@@ -94,27 +122,36 @@ def plain_heading(x: str) -> str:
 
 
 SQL["headings_extracted"] = f"WITH {NOTES} SELECT doc_id, pos::INT AS pos, heading FROM ({unnested(headings('content'), 'heading', 'notes', 'doc_id')})"
-TABLES = r"len(regexp_extract_all({x}, '(?m)(?:^[|].+[|]$\n?){{2,}}'))"
+TABLES = r"len(regexp_extract_all({x}, '(?m)(?:^\|.+\|$\n?){{2,}}'))"
 IMAGES = r"len(regexp_extract_all({x}, '!\[[^\]]*\]\([^)]+\)'))"
-BARE = r"regexp_replace(regexp_replace({x}, '\{{\{{#[\p{{L}}\p{{N}}_]+[^}}]*\}}\}}', '', 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
+BARE = r"regexp_replace(regexp_replace({x}, '\{{\{{#[\p{{L}}\p{{N}}_]+[^}}]*\}}\}}', '', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
 SQL["markdown_counts"] = f"WITH {NOTES} SELECT doc_id, {TABLES.format(x='content')}::INT AS tables, {IMAGES.format(x='content')}::INT AS images, length({BARE.format(x=chr(39) + '{{#include a.md}}<b>x</b>' + chr(39) + ' || content')})::INT AS bare_length FROM notes"
-SQL["quote_normalised"] = """SELECT doc_id, translate('“' || translate(text[1:200], 'aeio', '‘’“”') || '”', '‘’“”', chr(39) || chr(39) || '""') AS text FROM documents"""
+SQL["quote_normalised"] = """SELECT doc_id, translate('“' || translate(text, 'aeio', '‘’“”') || '”', '‘’“”', chr(39) || chr(39) || '""') AS text FROM documents"""
 FRONTED = "'---' || chr(10) || 'title: Note' || chr(10) || 'k: ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || content"
-SQL["frontmatter_body"] = rf"WITH {NOTES} SELECT doc_id, regexp_extract({FRONTED}, '(?s)\A[-][-][-]\n(.*?)\n[-][-][-]\n\n?', 1) AS front, md5(regexp_replace({FRONTED}, '(?s)\A[-][-][-]\n(.*?)\n[-][-][-]\n\n?', '')) AS body FROM notes"
+SQL["frontmatter_body"] = rf"WITH {NOTES} SELECT doc_id, regexp_extract({FRONTED}, '(?s)\A---\n(.*?)\n---\n\n?', 1) AS front, md5(regexp_replace({FRONTED}, '(?s)\A---\n(.*?)\n---\n\n?', '')) AS body FROM notes"
 MARKED = "'About' || chr(10) || '*** START OF THE BOOK ***' || chr(10) || text || chr(10) || '*** End of the book' || chr(10) || 'after'"
 INSIDE = strip("text")  # the markers stand at both ends
 SQL["gutenberg_strip"] = f"SELECT doc_id, md5({INSIDE}) AS text FROM documents"
 SQL["text_convert"] = f"SELECT doc_id, 'note_' || doc_id AS title, md5('# note_' || doc_id || chr(10) || chr(10) || {INSIDE}) AS content, 0 AS tables, 0 AS images FROM documents"
-CONVERTED = BARE.format(x="regexp_replace(" + strip(FRONTED) + r", '(?s)\A[-][-][-]\n(.*?)\n[-][-][-]\n\n?', '')")
+CONVERTED = BARE.format(x="regexp_replace(" + strip(FRONTED) + r", '(?s)\A---\n(.*?)\n---\n\n?', '')")
 SQL["markdown_convert"] = f"""WITH {NOTES}, c AS (SELECT doc_id, {CONVERTED} AS content FROM notes), h AS (SELECT *, {headings('content')} AS hs FROM c)
 SELECT doc_id, {plain_heading('hs[1]')} AS title, md5(content) AS content, array_to_string(hs, '|') AS headings, {TABLES.format(x='content')}::INT AS tables, {IMAGES.format(x='content')}::INT AS images FROM h"""
 SQL["text_helpers"] = f"""WITH {NOTES}, h AS (SELECT *, {headings('content')} AS hs FROM notes)
 SELECT doc_id, array_to_string(list_transform(hs[:4], lambda x: {plain_heading('x')}), '|') AS samples,
   original_source || '|' || full_path || CASE WHEN original_source = split_part(full_path, '/', 3) THEN '' ELSE '|note_' || doc_id || '.md' END AS aliases,
   'docs/chunks/note_' || doc_id || '_007.md' AS chunk_7, 'docs/chunks/note_' || doc_id || '_1234.md' AS chunk_1234 FROM h"""
-SQL["html_title_counts"] = r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, len(regexp_extract_all(bare, '(?i)<p[ >]'))::INT AS paragraphs,
-  len(regexp_extract_all(bare, '(?i)<li[ >]'))::INT AS items, len(regexp_extract_all(bare, '(?i)<h1[ >]'))::INT AS h1, len(regexp_extract_all(bare, '(?i)<table[ >]'))::INT AS tables
-FROM (SELECT *, regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g') AS bare FROM pages)"""
+
+
+def unescaped(x: str) -> str:
+    """Text of a page: tags become spaces but for those within a line, which vanish; the entities that the pages hold become characters."""
+    bare = rf"regexp_replace(regexp_replace({x}, '</?(b|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g')"
+    return f"""trim(replace(replace(replace({bare}, '&quot;', '"'), '&middot;', '·'), '&amp;', '&'))"""
+
+
+# the pages' articles are their content; pages have one heading, and neither tables nor images
+SQL["html_title_counts"] = rf"""WITH parts AS (SELECT page_id, {unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages WHERE html IS NOT NULL),
+texts AS (SELECT *, {unescaped("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, regexp_extract_all({unescaped("article")}, '[\p{{L}}\p{{N}}]+') AS words FROM parts)
+SELECT page_id, title, '# ' || regexp_replace(h1, '([\\&<`\[>~#=+|*_-])', '\\\1', 'g') AS headings, 0 AS tables, 0 AS images, len(words)::INT AS n_words, md5(array_to_string(words, ' ')) AS words FROM texts"""
 
 # --- PDF text ---
 
@@ -128,7 +165,7 @@ SQL["repeated_lines"] = f"WITH {REPEATED} SELECT doc, line FROM gone"
 SQL["lines_stripped"] = f"""WITH {REPEATED}, each AS (SELECT doc, page, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS raw FROM pages_)
 SELECT p.doc, p.page, md5(coalesce(string_agg(raw, chr(10) ORDER BY k), '')) AS text FROM pages_ p
 LEFT JOIN (SELECT * FROM each e WHERE NOT EXISTS (FROM gone g WHERE g.doc = e.doc AND g.line = {strip('e.raw')})) e ON e.doc = p.doc AND e.page = p.page GROUP BY ALL"""
-NUMBERED, NAMED = r"(?:\d+\.)*\d+\.?\s+[A-Z].+", "(?:Status of This Memo|References|Introduction|Copyright Notice|Conclusions?|Background|Appendix(?:es)?|Acknowledge?ments?|Abstract)"
+NUMBERED, NAMED = r"\d+(?:\.\d+)*\.?\s+[A-Z].+", "(?:Abstract|Acknowledge?ments?|Appendix|Appendixes|Background|Conclusions?|Copyright Notice|Introduction|References|Status of This Memo)"
 
 
 def plain_headings(x: str) -> str:
@@ -143,7 +180,7 @@ FROM (SELECT *, len(regexp_extract_all(text, '(?m)^\|.*\|$')) AS lines, list_max
 
 # --- chunks ---
 
-SPLIT = rf"""{NOTES}, marked AS (SELECT doc_id, full_path, regexp_replace(regexp_replace(content, '(?m)^(#{{1,6}}\s)', chr(1) || '\1', 'g'), '(?m)^([^\x01\n]+\n[-=]{{2,}}\s*)$', chr(1) || '\1', 'g') AS content FROM notes),
+SPLIT = rf"""{NOTES}, marked AS (SELECT doc_id, full_path, regexp_replace(regexp_replace(content, '(?m)^(#{{1,6}}\s)', chr(1) || '\1', 'g'), '(?m)^([^\x01\n]+\n[=-]{{2,}}\s*)$', chr(1) || '\1', 'g') AS content FROM notes),
 cutup AS (SELECT doc_id, full_path, unnest(range(len(l))) AS k, unnest(l) AS piece FROM (SELECT doc_id, full_path, list_filter(list_transform(string_split(content, chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM marked)),
 flags AS (SELECT *, NOT contains(piece, chr(10)) AND regexp_matches(piece, '^#{{1,6}}\s') AS bare FROM cutup),
 runs AS (SELECT *, sum(CASE WHEN bare THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM flags),
@@ -153,14 +190,14 @@ merged AS (SELECT doc_id, full_path, g, string_agg(piece, chr(10) || chr(10) ORD
 parts AS (SELECT doc_id, full_path, CASE WHEN bare AND g = last AND last > 1 THEN g - 1 ELSE g END - 1 AS pos, string_agg(part, chr(10) || chr(10) ORDER BY g) AS part FROM merged GROUP BY ALL)"""
 SQL["chunk_headings_split"] = f"WITH {SPLIT} SELECT doc_id, pos::INT AS pos, md5(part) AS part, length(part)::INT AS length FROM parts"
 MAY_END = r"(len(regexp_extract_all({x}, '(?m)^\s*`{{3,}}')) % 2 = 0 AND NOT (NOT contains({x}, chr(10)) AND regexp_matches({x}, '^#{{1,6}}\s')))"
-NAMED_SECTION = r"(?i)(?:Table of Contents|Status of This Memo|References|Preface|Introduction|Foreword|Copyright Notice|Contents|Conclusions?|Background|Appendix(?:\s+[0-9A-Z]+)?|Acknowledge?ments?|Abstract)"
-PART_SECTION = r"(?i)(?:Appendix|Book|Chapter|Part|Act|Scene)\b(?:\s+[-.0-9A-Z]+)*(?:\s*[-.:]\s*.+)?"
-CAPITALS = "[A-Z][- &/:;,()\"''0-9A-Z]{2,80}"
+NAMED_SECTION = r"(?i)(?:Abstract|Acknowledge?ments?|Appendix|Appendix\s+[A-Z0-9]+|Background|Conclusions?|Contents|Copyright Notice|Foreword|Introduction|Preface|References|Status of This Memo|Table of Contents)"
+PART_SECTION = r"(?i)(?:Act|Appendix|Book|Chapter|Part|Scene)\b(?:\s+[A-Z0-9.-]+)*(?:\s*[:.-]\s*.+)?"
+CAPITALS = "[A-Z][A-Z0-9 \"''&(),/:;-]{2,80}"
 
 
 def begins(p: str) -> str:
     first = f"list_filter(list_transform(string_split({p}, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')[1]"
-    return rf"""coalesce((SELECT starts_with(f, '#') OR (len(regexp_extract_all(f, '\S+')) <= 18 AND (regexp_full_match(f, '(?:\d+\.)*\d+\.?\s+[A-Z].{{0,120}}') OR regexp_full_match(f, '{NAMED_SECTION}') OR regexp_full_match(f, '{PART_SECTION}') OR (NOT contains({p}, chr(10)) AND regexp_full_match(f, '{CAPITALS}')))) FROM (SELECT {first} AS f)), false)"""
+    return rf"""coalesce((SELECT starts_with(f, '#') OR (len(regexp_extract_all(f, '\S+')) <= 18 AND (regexp_full_match(f, '\d+(?:\.\d+)*\.?\s+[A-Z].{{0,120}}') OR regexp_full_match(f, '{NAMED_SECTION}') OR regexp_full_match(f, '{PART_SECTION}') OR (NOT contains({p}, chr(10)) AND regexp_full_match(f, '{CAPITALS}')))) FROM (SELECT {first} AS f)), false)"""
 
 
 def packed(source: str, key: str, size: str, sections: str = "false") -> str:
@@ -191,12 +228,12 @@ def path(k: str) -> str:
 SQL["chunk_navigation"] = f"""WITH RECURSIVE {CHUNKS} SELECT {path('chunk_index')} AS path, chunk_index::INT AS chunk_index, chunk_count::INT AS chunk_count,
   lag({path('chunk_index')}) OVER w AS previous, lead({path('chunk_index')}) OVER w AS next FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)"""
 FIRST = f"list_filter(list_transform(string_split(content, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
-HEAD = rf"""CASE WHEN regexp_matches(content, '(?m)^#{{1,6}}(?:\s+)(.+)$') THEN {strip(r"regexp_extract(content, '(?m)^#{1,6}(?:\s+)(.+)$', 1)")}
-  WHEN regexp_matches(content, '(?m)^(.+)\n([-=]{{2,}})\s*$') THEN {strip(r"regexp_extract(content, '(?m)^(.+)\n([-=]{2,})\s*$', 1)")} ELSE coalesce({FIRST}[1][1:80], title) END"""
+HEAD = rf"""CASE WHEN regexp_matches(content, '(?m)^#{{1,6}}\s+(.+)$') THEN {strip(r"regexp_extract(content, '(?m)^#{1,6}\s+(.+)$', 1)")}
+  WHEN regexp_matches(content, '(?m)^(.+)\n([=-]{{2,}})\s*$') THEN {strip(r"regexp_extract(content, '(?m)^(.+)\n([=-]{2,})\s*$', 1)")} ELSE coalesce({FIRST}[1][1:80], title) END"""
 SHOWN = f"shown AS (SELECT *, {path('chunk_index')} AS path, {low_signal('content')} AS low_signal, coalesce(list_filter({FIRST}, lambda x: NOT starts_with(x, '#'))[1], heading)[1:160] AS preview FROM (SELECT *, {HEAD} AS heading FROM chunks))"
 SQL["chunk_heading_preview"] = f"WITH RECURSIVE {CHUNKS}, {SHOWN} SELECT path, heading, preview, low_signal FROM shown"
 SQL["document_nodes"] = f"WITH RECURSIVE {CHUNKS}, {SHOWN} SELECT path, 'chunk' AS kind, title, heading FROM shown UNION ALL SELECT full_path, 'document', 'Note ' || doc_id, NULL FROM notes"
-SQL["document_keywords_weighted"] = f"""WITH RECURSIVE {CHUNKS}, {SHOWN}, good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM shown WHERE NOT low_signal),
+SQL["document_keywords_weighted"] = f"""WITH RECURSIVE {CHUNKS}, {SHOWN}, good AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM shown WHERE NOT low_signal),
 words AS (SELECT full_path, unnest({tokens("'Note ' || doc_id")}) AS term, 6 AS w FROM notes
   UNION ALL SELECT full_path, unnest({tokens(f"array_to_string(list_transform(({headings('content')})[:4], lambda h: {plain_heading('h')}), chr(10))")}), 4 FROM notes
   UNION ALL SELECT full_path, unnest({tokens('content[1:1500]')}), 1 FROM notes
@@ -238,9 +275,8 @@ def found_ids(x: str) -> str:
 
 
 IDS = found_ids("content")
-SECTIONS = r"regexp_extract_all(content, '(?i)\bsec(?:tion|\.?)\s+([0-9]+(?:\.[0-9]+)*)\b', 1)"
-TICKS = f"list_transform(regexp_extract_all(content, '`([^\\n`]{{2,120}})`', 1), lambda b: {strip('b')})"
-ROMAN = R.ROMAN.strip("^$")
+SECTIONS = r"regexp_extract_all(content, '(?i)\b(?:section|sec\.?)\s+([0-9]+(?:\.[0-9]+)*)\b', 1)"
+TICKS = f"list_transform(regexp_extract_all(content, '`([^`\\n]{{2,120}})`', 1), lambda b: {strip('b')})"
 
 
 def normal_symbol(x: str) -> str:
@@ -262,14 +298,14 @@ SQL["identifiers"] = joined(IDS, "identifiers")
 SQL["sections"] = joined(SECTIONS, "sections")
 SQL["backticks"] = joined(TICKS, "phrases")
 # words of one case or another stand between non-word characters that neighbours may share, so words are taken whole and tested
-WORDS = r"list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda s: length(s) >= 3 AND (regexp_full_match(s, '[A-Z][0-9A-Za-z]+') OR regexp_full_match(s, '[_a-z][_0-9a-z]{2,}') OR regexp_full_match(s, '[A-Za-z_][A-Za-z0-9_]*')))"
+WORDS = r"list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), lambda s: length(s) >= 3 AND (regexp_full_match(s, '[A-Z][A-Za-z0-9]+') OR regexp_full_match(s, '[a-z_][a-z0-9_]{2,}') OR regexp_full_match(s, '[A-Za-z_][A-Za-z0-9_]*')))"
 SYMBOLS = f"list_filter(list_concat(list_filter({TICKS}, lambda b: NOT contains(b, ' ')), {WORDS}), lambda s: {symbol_like('s')})"
 SQL["symbols_limited"] = joined(SYMBOLS, "symbols", 24)
 
 REFS = rf"""{NOTES}, ticks AS (SELECT full_path, unnest({TICKS}) AS v FROM notes),
-is_path AS (SELECT *, regexp_full_match(v, '(?i)(?:\.{{0,2}}/)?(?:[\p{{L}}\p{{N}}_.-]+/)*[\p{{L}}\p{{N}}_.-]+\.(?:{R.SUFFIXES})') AS p, regexp_full_match(upper(v), '[A-Z][A-Z0-9]{{1,15}}-[0-9]{{1,5}}') AS i FROM ticks),
+is_path AS (SELECT *, regexp_full_match(v, '(?i)(?:\.{{0,2}}/)?(?:[\p{{L}}\p{{N}}_.-]+/)*[\p{{L}}\p{{N}}_.-]+\.(?:{SUFFIXES})') AS p, regexp_full_match(upper(v), '[A-Z][A-Z0-9]{{1,15}}-[0-9]{{1,5}}') AS i FROM ticks),
 asked AS (SELECT DISTINCT full_path AS src, kind, value FROM (
-  SELECT full_path, 'path' AS kind, unnest(regexp_extract_all(content, '(?i)(?:^|[^\p{{L}}\p{{N}}_])((?:\.{{0,2}}/)?(?:[\p{{L}}\p{{N}}_.-]+/)*[\p{{L}}\p{{N}}_.-]+\.(?:{R.SUFFIXES}))\b', 1)) AS value FROM notes
+  SELECT full_path, 'path' AS kind, unnest(regexp_extract_all(content, '(?i)(?:^|[^\p{{L}}\p{{N}}_])((?:\.{{0,2}}/)?(?:[\p{{L}}\p{{N}}_.-]+/)*[\p{{L}}\p{{N}}_.-]+\.(?:{SUFFIXES}))\b', 1)) AS value FROM notes
   UNION ALL SELECT full_path, 'path', v FROM is_path WHERE p
   UNION ALL SELECT full_path, 'identifier', unnest({IDS}) FROM notes
   UNION ALL SELECT full_path, 'identifier', upper(v) FROM is_path WHERE i AND NOT p
@@ -322,7 +358,7 @@ hits AS (SELECT key, ('0x' || sha256(t)[3:4])::INT AS bucket, count(*) AS n FROM
 
 
 SQL["hashed_embedding"] = f"WITH texts AS (SELECT doc_id AS key, text FROM documents), {hashed('texts')} SELECT key, bucket, round(x, 6) AS x FROM buckets"
-FUSED = f"""{MATCHES}, {lexical('SELECT full_path AS key, content AS body FROM notes')}, texts AS (SELECT full_path AS key, content[1:400] AS text FROM notes), {hashed('texts')},
+FUSED = f"""{MATCHES}, {lexical('SELECT full_path AS key, content AS body FROM notes')}, texts AS (SELECT full_path AS key, content AS text FROM notes), {hashed('texts')},
 sem AS (SELECT src, dst, round(raw, 3) AS score FROM (SELECT a.key AS src, b.key AS dst, sum(a.x * b.x) AS raw FROM buckets a JOIN buckets b ON a.bucket = b.bucket AND a.key <> b.key GROUP BY ALL) WHERE raw >= 0.35
   QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(raw, 3) DESC, dst) <= 3),
 every AS (SELECT src, dst, max(score) AS ref, NULL::DOUBLE AS lex, NULL::DOUBLE AS sem, string_agg(kind || ':' || value, '|' ORDER BY rank) AS refs FROM refs GROUP BY ALL
@@ -334,8 +370,9 @@ fused AS (SELECT b.*, coalesce(t.terms, []) AS terms, CASE WHEN (ref_score IS NO
   row_number() OVER (PARTITION BY b.src ORDER BY score DESC, b.dst) AS rank FROM both_ b LEFT JOIN lex_terms t ON t.src = b.src AND t.dst = b.dst QUALIFY rank <= 3)"""
 SHOW = "src, dst, rank::INT AS rank, relationship_type, score, ref_score, lex_score, sem_score"
 SQL["fused_edges"] = f"""WITH {FUSED} SELECT {SHOW}, array_to_string(terms, '|') AS shared_terms, "references" FROM fused"""
-SQL["filtered_edges"] = f"""WITH {FUSED}, kw AS (SELECT full_path, term, row_number() OVER (PARTITION BY full_path ORDER BY pos) AS k FROM (
-  SELECT full_path, term, min(pos) AS pos FROM ({unnested(f"list_concat({tokens("'Note ' || doc_id")}, {tokens('content[1:400]')})", 'term', 'notes', 'full_path, doc_id')}) GROUP BY full_path, term) QUALIFY k <= 8),
+SOME_REFS = FUSED.replace("every AS (SELECT src, dst, max(score) AS ref", "few AS (SELECT * FROM refs WHERE regexp_extract(src, '([0-9]+)[.]md$', 1)::BIGINT % 4 = 0),\nevery AS (SELECT src, dst, max(score) AS ref").replace("AS refs FROM refs GROUP BY", "AS refs FROM few GROUP BY")
+SQL["filtered_edges"] = f"""WITH {SOME_REFS}, kw AS (SELECT full_path, term, row_number() OVER (PARTITION BY full_path ORDER BY pos) AS k FROM (
+  SELECT full_path, term, min(pos) AS pos FROM ({unnested(f"list_concat({tokens("'Note ' || doc_id")}, {tokens('content')})", 'term', 'notes', 'full_path, doc_id')}) GROUP BY full_path, term) QUALIFY k <= 8),
 rare AS (SELECT term FROM kw WHERE NOT list_contains({LOW}, term) AND NOT list_contains({GENERIC_A}, term) GROUP BY term HAVING count(*) <= greatest(2, (SELECT count(*) FROM notes) // 10)),
 anchors AS (SELECT f.src, f.dst, list(a.term ORDER BY a.k)[:4] AS anchors FROM fused f JOIN kw a ON a.full_path = f.src JOIN kw b ON b.full_path = f.dst AND b.term = a.term JOIN rare r ON r.term = a.term GROUP BY ALL)
 SELECT {SHOW.replace('src, dst', 'f.src, f.dst')}, array_to_string(CASE WHEN sem_score IS NOT NULL AND ref_score IS NULL AND len(terms) = 0 THEN coalesce(anchors, []) ELSE terms END, '|') AS shared_terms, "references"
@@ -346,10 +383,34 @@ FROM fused f LEFT JOIN anchors a ON a.src = f.src AND a.dst = f.dst WHERE sem_sc
 SQL["output_paths"] = """WITH f AS (SELECT 'a.b/note_' || doc_id AS stem, ext FROM documents, (VALUES ('md'), ('txt'), ('html')) AS v(ext) WHERE ext = 'md' OR doc_id % 3 = 0)
 SELECT stem || '.' || ext AS original_source, stem || CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN '_' || ext ELSE '' END || '.md' AS out_rel FROM f"""
 SQL["corpus_missing"] = f"WITH {NOTES} SELECT DISTINCT 'note_' || doc_id || '.md' AS original_source FROM labels WHERE 'note_' || doc_id || '.md' NOT IN (SELECT original_source FROM notes)"
-SQL["manifest_metrics"] = f"""WITH RECURSIVE {CHUNKS}, {MATCHES.replace(NOTES + ', ', '')}, sorted AS (SELECT list(tokens_estimate ORDER BY tokens_estimate) AS l FROM chunks)
+CHUNK_IDS = found_ids("heading || chr(10) || content")
+CHUNK_SYMBOLS = f"list_filter(list_concat(list_filter({TICKS.replace('content', 'named')}, lambda b: NOT contains(b, ' ')), {WORDS.replace('content', 'named')}), lambda s: {symbol_like('s')})"
+#: CTEs of the references between chunks, over shown: c_refs (src, dst, kind, value, score, rank).
+CHUNK_MATCHES = rf"""good AS MATERIALIZED (SELECT s.path AS full_path, s.full_path AS grp, s.doc_id, s.chunk_index, s.heading, s.content, n.original_source FROM shown s JOIN notes n USING (doc_id) WHERE NOT s.low_signal),
+{re.sub("\\b(ticks|is_path|asked)\\b", r"c_\1", REFS.replace(NOTES + ", ", "").replace("FROM notes", "FROM good")).replace("c_asked AS (", "c_asked AS MATERIALIZED (").replace("c_ticks AS (", "c_ticks AS MATERIALIZED (")},
+c_symbols AS MATERIALIZED (SELECT full_path, s, row_number() OVER (PARTITION BY full_path ORDER BY k) AS n FROM (SELECT full_path, s, min(k) AS k FROM (
+  SELECT full_path, unnest(l) AS s, unnest(range(len(l))) AS k FROM (SELECT full_path, {CHUNK_SYMBOLS} AS l FROM (SELECT full_path, heading || chr(10) || content AS named FROM good))) GROUP BY full_path, s)),
+c_index AS MATERIALIZED (SELECT DISTINCT kind, {normal('kind', 'value')} AS norm, full_path AS target FROM (
+  SELECT full_path, 'path' AS kind, unnest([full_path, split_part(full_path, '/', 3)]) AS value FROM good
+  UNION ALL SELECT full_path, 'path', unnest([original_source, grp, split_part(grp, '/', 3)]) FROM good WHERE chunk_index = 1
+  UNION ALL SELECT full_path, 'identifier', unnest({CHUNK_IDS}) FROM good
+  UNION ALL SELECT full_path, 'section', v FROM (SELECT full_path, regexp_extract(heading, '^\s*([0-9]+(?:\.[0-9]+)*)\b', 1) AS v FROM good) WHERE v <> ''
+  UNION ALL SELECT full_path, 'heading', heading FROM good
+  UNION ALL SELECT full_path, 'symbol', s FROM c_symbols WHERE n <= 12 AND {symbol_like('s')}) WHERE {normal('kind', 'value')} <> ''),
+c_counted AS (SELECT *, count(*) OVER (PARTITION BY kind, norm) AS targets FROM c_index),
+c_met AS (SELECT src, target AS dst, a.kind, value, CASE a.kind WHEN 'path' THEN 1.0 WHEN 'identifier' THEN 0.95 WHEN 'section' THEN 0.9 WHEN 'heading' THEN 0.84 ELSE 0.78 END::DOUBLE AS score
+  FROM c_asked a JOIN c_counted c ON a.kind = c.kind AND {normal('a.kind', 'a.value')} = c.norm JOIN good g ON g.full_path = a.src JOIN good t ON t.full_path = c.target
+  WHERE (a.kind IN ('path', 'identifier') OR targets = 1) AND (a.kind <> 'section' OR contains(c.norm, '.')) AND t.grp <> g.grp),
+c_refs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY score DESC, kind, lower(value)) AS rank FROM c_met QUALIFY rank <= 5),
+c_edges AS MATERIALIZED (SELECT src, dst, max(score) AS score, string_agg(kind || ':' || value, '|' ORDER BY rank) AS "references" FROM c_refs GROUP BY src, dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(max(score), 3) DESC, dst) <= 3)"""
+SQL["bridges_top8"] = f"""WITH RECURSIVE {CHUNKS}, {SHOWN.replace("shown AS (", "shown AS MATERIALIZED (")}, {CHUNK_MATCHES},
+once AS (SELECT e.*, l.heading AS left_heading, r.heading AS right_heading FROM c_edges e JOIN good l ON l.full_path = e.src JOIN good r ON r.full_path = e.dst
+  QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY string_split(l.grp, '/'), l.chunk_index, score DESC, dst) = 1)
+SELECT src AS left_path, left_heading, dst AS right_path, right_heading, round(score, 3) AS score, 'explicit_reference' AS relationship_type, "references" FROM once ORDER BY score DESC, src, dst LIMIT 8"""
+SQL["manifest_metrics"] = f"""WITH RECURSIVE {CHUNKS}, {SHOWN.replace("shown AS (", "shown AS MATERIALIZED (")}, {MATCHES.replace(NOTES + ', ', '')}, {CHUNK_MATCHES}, sorted AS (SELECT list(tokens_estimate ORDER BY tokens_estimate) AS l FROM chunks)
 SELECT (SELECT count(*) FROM notes) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT sum({estimate('content')})::BIGINT FROM notes) AS total_tokens, round((SELECT avg(tokens_estimate) FROM chunks), 1) AS avg_chunk_tokens,
   round((SELECT median(tokens_estimate) FROM chunks), 1) AS median_chunk_tokens, l[greatest(1, floor(len(l) * 0.95))::INT]::INT AS p95_chunk_tokens, l[-1]::INT AS max_chunk_tokens, 0::BIGINT AS docs_without_headings,
-  (SELECT count(*) FROM notes WHERE full_path NOT IN (SELECT src FROM refs)) AS docs_without_related, len(l) AS chunks_without_related FROM sorted"""
+  (SELECT count(*) FROM notes WHERE full_path NOT IN (SELECT src FROM refs)) AS docs_without_related, (SELECT count(*) FROM shown WHERE path NOT IN (SELECT src FROM c_edges)) AS chunks_without_related FROM sorted"""
 SQL["manifest_integrity"] = f"""WITH RECURSIVE {CHUNKS}, linked AS (SELECT *, {path('chunk_index')} AS path FROM chunks), all_ AS (SELECT full_path AS p FROM notes UNION ALL SELECT path FROM linked)
 SELECT 'missing_document' AS error, full_path AS path, NULL::VARCHAR AS detail FROM notes WHERE full_path LIKE '%5.md'
 UNION ALL SELECT 'missing_chunk', path, NULL FROM linked WHERE path LIKE '%9\\_001.md' ESCAPE '\\'
@@ -379,7 +440,7 @@ chunk_scores AS (SELECT query_id, key, round(sum(part), 6) AS score FROM (SELECT
 RANK10 = "SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM {0} QUALIFY rank <= 10"
 SQL["bm25_chunks"] = f"WITH RECURSIVE {SEARCHED} {RANK10.format('chunk_scores')}"
 DOCUMENTED = f"""{SEARCHED}, words AS (SELECT full_path, string_agg(term, ' ' ORDER BY k) AS words FROM (SELECT full_path, term, row_number() OVER (PARTITION BY full_path ORDER BY pos) AS k FROM (
-  SELECT full_path, term, min(pos) AS pos FROM ({unnested(f"list_concat({tokens("'Note ' || doc_id")}, {tokens('content[1:400]')})", 'term', 'notes', 'full_path, doc_id')}) GROUP BY full_path, term) QUALIFY k <= 8) GROUP BY full_path),
+  SELECT full_path, term, min(pos) AS pos FROM ({unnested(f"list_concat({tokens("'Note ' || doc_id")}, {tokens('content')})", 'term', 'notes', 'full_path, doc_id')}) GROUP BY full_path, term) QUALIFY k <= 8) GROUP BY full_path),
 doc_texts AS (SELECT key, title, original_source, words, samples, concat_ws(chr(10), title, original_source, words, samples, content) AS text FROM (
   SELECT n.full_path AS key, 'Note ' || doc_id AS title, original_source, coalesce(words, '') AS words, array_to_string(list_transform(({headings('content')})[:4], lambda h: {plain_heading('h')}), ' ') AS samples, content FROM notes n LEFT JOIN words USING (full_path))),
 {search('doc_texts', {'title': 4, 'original_source': 6, 'words': 3, 'samples': 3}, 4, 'd')},

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +72,32 @@ register(".docx", docx.convert)
 register(".pdf", default_pdf)
 
 
+def _hidden(folder: str) -> list[str]:
+    """The files below a folder that Spark's readers leave out, since a part of their path begins with a dot or an underscore."""
+    uri = folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)
+    store, top = pafs.FileSystem.from_uri(uri)
+    found = store.get_file_info(pafs.FileSelector(top, recursive=True))
+    own = [x.path for x in found if x.is_file and any(part[0] in "._" for part in x.path[len(top) :].split("/") if part)]
+    scheme = uri.split("://")[0] + "://" + ("" if uri.startswith("file:") else uri.split("://")[1].split("/")[0] + "/")
+    return sorted(scheme + x for x in own if os.path.splitext(x)[1].lower() in FORMATS)
+
+
+def _read(batches):
+    for batch in batches:
+        paths, data = batch.column(0).to_pylist(), []
+        for path in paths:
+            store, place = pafs.FileSystem.from_uri(path)
+            with store.open_input_stream(place, compression=None) as f:
+                data.append(f.read())
+        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], names=["path", "content"])
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """(original_source, extension, stem, data) of the files below a folder that have a known extension. Names that begin with a dot or underscore are left out, as Spark's readers do."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """(original_source, extension, stem, data) of the files below a folder that have a known extension. Each file is one row and is converted by itself, in a Python worker that has one thread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    hidden = _hidden(folder)
+    if hidden:
+        files = files.unionByName(spark.createDataFrame([(x,) for x in hidden], "path string").mapInArrow(_read, "path string, content binary"))
     base = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     plain = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")

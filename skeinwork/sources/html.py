@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+from ..functions.patterns import MARKS
+from ..functions.vocabulary import PAGE_CLASSES, PAGE_ROLES, PAGE_TAGS
+
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A tag that opens closes these, if they are open and no barrier stands between.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BLOCKS = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 BARRIERS = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
-DROPPED = set("noscript footer header nav style script".split())
-DROPPED_ROLES = set("contentinfo banner search navigation".split())
-DROPPED_CLASSES = "permalink headerlink breadcrumbs breadcrumb sidebar".split()
 HEADINGS = {f"h{k}" for k in range(1, 7)}
 ENOUGH = 200
 
@@ -108,13 +108,13 @@ def class_matches(token: str, keyword: str) -> bool:
 
 
 def is_boilerplate_class(value: str) -> bool:
-    return any(class_matches(t, k) for t in value.lower().split() for k in DROPPED_CLASSES)
+    return any(class_matches(t, k) for t in value.lower().split() for k in PAGE_CLASSES)
 
 
 def clean(root: Node) -> None:
     """Drops what isn't content."""
     for node in list(root.walk()):
-        if node.tag in DROPPED or node.attrs.get("role") in DROPPED_ROLES or is_boilerplate_class(node.attrs.get("class", "")):
+        if node.tag in PAGE_TAGS or node.attrs.get("role") in PAGE_ROLES or is_boilerplate_class(node.attrs.get("class", "")):
             node.drop()
 
 
@@ -278,5 +278,5 @@ def convert(html: str, stem: str, count) -> dict:
         about = next((m.attrs.get("content", "").strip() for m in root.find("meta") if m.attrs.get("name") == "description"), "")
         content = f"# {title or stem}" + (f"\n\n{about}" if about else "")
     flat = str.maketrans("‘’“”", "''\"\"")
-    headings = [f"{m[1]} {re.sub(r'\[([^]]+)\][(][^)]+[)]', r'\1', m[2]).translate(flat)}" for m in re.finditer(r"^(#{1,6})(?:\s+)(.+)$", content, re.M)]
+    headings = [f"{m[1]} {re.sub(r'\[([^\]]+)\]\([^)]+\)', r'\1', m[2]).translate(flat)}" for m in re.finditer(rf"^({MARKS})\s+(.+)$", content, re.M)]
     return {"content": content, "title": title or stem, "headings": headings, "tables": tables, "images": len(images)}

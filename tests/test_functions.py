@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,8 @@ from skeinwork.functions import markdown as M
 from skeinwork.functions import pdf as P
 from skeinwork.functions import references as R
 from skeinwork.functions import text as T
+from skeinwork.operators import chunking, lexical, retrieval
+from skeinwork.sources import pdf
 
 
 @pytest.fixture
@@ -18,10 +22,40 @@ def value(spark):
 def test_tokens(value):
     assert value(T.tokens, "The Quick-fix of CIVIL law, naïve_x 12ab ab mix Überfluß the x") == ["quick-fix", "law", "naïve_x", "überfluß"]
     assert value(T.tokens, None) is None and value(T.tokens, "") == []
-    assert value(lambda x: T.tokens(T.nfkc(x)), "ﬁnance") == ["finance"]
+    assert value(T.tokens, "ﬁnance Ｔｏｋｅｎｓ cafe\u0301 ①②③ naïve") == ["finance", "tokens", "café", "naïve"]
     assert value(lambda x: T.keywords(x, F.lit("alpha beta"), limit=3), "beta gamma beta") == ["beta", "gamma", "alpha"]
 
 
+def test_nfkc_is_that_of_python(spark):
+    """Characters that NFKC changes, alone and between others, and those that it leaves alone."""
+    texts = [chr(c) for c in (*range(1, 0xD800, 7), *range(0xF900, 0xFFFF, 3), *range(0x1D400, 0x1D500))]
+    texts = ["", None, "a" + "\u0301", "\u1112\u1161\u11ab", *("".join(texts[k : k + 5]) for k in range(0, len(texts), 5)), *texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.nfkc(F.col("t")).alias("t")).collect()
+    assert all(r.t == (texts[r.k] and unicodedata.normalize("NFKC", texts[r.k])) for r in got)
+
+
+def test_terms_are_normalised_everywhere(spark):
+    """Ligatures and full-width letters are plain ones in term counts and in retrieval."""
+    nodes = spark.createDataFrame([(1, "ﬁnance ﬁnance", None), (2, "finance Ｔｏｋｅｎｓ", None)], "key int, body string, grp string")
+    assert sorted((r.key, r.term, r.n) for r in lexical.term_frequency(nodes).collect()) == [(1, "finance", 2), (2, "finance", 1), (2, "tokens", 1)]
+    chunks = spark.createDataFrame([("p", "d", "t", "s", "h", "v", "the ﬁnance ｒｕｌｅｓ")], "path string, full_path string, title string, original_source string, heading string, preview string, content string")
+    q = spark.createDataFrame([(1, "finance rules")], "query_id int, query string")
+    assert [r.key for r in retrieval.best_chunks(chunks, q, 3).collect()] == ["p"]
+
+
+def test_both_copies_of_the_pdf_repair_agree(spark):
+    """sources.pdf repairs one file's text; functions.pdf does for columns."""
+    texts = ["T\nhe ﬁrst\nhead\nbody", "```md\n# A\nhead\n```", "x\nTable of Contents\n1 Alpha ..... 3\n2.1 Beta 14\n\n# Real\n" + "prose and more prose here, enough of it.\n" * 2, "", " \n", "A\nB\nhead", "# H\n\n" + "long " * 400]
+    for text in texts:
+        for gone in (set(), {"head"}):
+            df = spark.createDataFrame([(text, sorted(gone))], "x string, gone array<string>")
+            assert df.select(P.repaired(F.col("x"), F.col("gone")).alias("v")).first().v == pdf.repair(text, gone)
+    for markdown in texts:
+        for plain in texts:
+            df = spark.createDataFrame([(markdown, plain)], "m string, p string")
+            assert df.select(P.prefer_plain(F.col("m"), F.col("p")).alias("v")).first().v == pdf.prefer_plain(markdown, plain, chunking.estimate), (markdown, plain)
+
+
 @pytest.mark.parametrize("word,stem", [("policies", "policy"), ("running", "run"), ("creating", "create"), ("reaching", "reache"), ("reading", "read"), ("wanted", "want"), ("boxes", "boxe"), ("classes", "class"), ("cars", "cars"), ("trucks", "truck"), ("ties", "ties")])
 def test_stem(value, word, stem):
     assert value(T.stem, word) == stem

@@ -2,9 +2,11 @@ import json
 
 import pytest
 
+from skeinwork import tokens
 from skeinwork.operators import chunking as C
 from skeinwork.operators import graph, lexical, references, repeated, retrieval, semantic, validate
-from skeinwork.plans import pack
+from skeinwork.plans import pack, queries
+from skeinwork.sources import files
 
 
 def test_heading_parts():
@@ -122,7 +124,114 @@ def test_pack(spark, tmp_path):
     assert not list(out.rglob("*.tmp")) and pack.load(spark, str(out)).first().total_chunks == m["total_chunks"]
     with pytest.raises(ValueError):
         pack.pack_folder(spark, str(src), str(out), ["nobody"])
-    assert pack.free_folder(str(out)) == f"{out}-1"
+    assert pack.free_folder(spark, str(out)) == f"{out}-1"
+    # the same folder packed again gives the same bytes
+    again = tmp_path / "again"
+    pack.pack_folder(spark, str(src), str(again), ["all"])
+    every = lambda root: {str(f.relative_to(root)): f.read_bytes() for f in root.rglob("*") if f.is_file() and not f.name.endswith(".crc")}
+    assert every(out) == every(again)
+
+
+def test_pack_in_parts_with_cache_and_vocabulary(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    (src / ".github").mkdir(parents=True)
+    (src / "a.md").write_text("# A\n\nOne two three.")
+    (src / ".github" / "b.md").write_text("# B\n\nFour five.")
+    (src / "_c.txt").write_text("six")
+    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    pack.pack_folder(spark, str(src), str(out), encoding=path, cache=f"{tmp_path}/cache")
+    m = json.loads((out / "manifest.json").read_text())
+    assert [d["original_source"] for d in m["documents"]] == [".github/b.md", "_c.txt", "a.md"]
+    assert {d["encoding"] for d in m["documents"]} == {"byte_bpe_multi_50k"}
+    encoder = tokens.counter(path)
+    assert all(d["tokens_estimate"] == encoder(pack.parse_front_matter((out / d["full_path"]).read_text())[1]) for d in m["documents"])
+    kept = spark.read.parquet(f"{tmp_path}/cache/hashed_stems")
+    before = kept.count()
+    assert before > 0 and before == kept.select("digest").distinct().count()
+    built = pack.build(files.documents(files.discover(spark, str(src))), cache=f"{tmp_path}/cache")
+    assert spark.read.parquet(f"{tmp_path}/cache/hashed_stems").count() == before
+    pack.write(built, str(tmp_path / "parts"), manifest_lines=True)
+    small = json.loads((tmp_path / "parts" / "manifest.json").read_text())
+    assert small["documents"] == [] and small["total_chunks"] == m["total_chunks"]
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/parts/manifest-documents").collect()]
+    assert [d["full_path"] for d in lines] == [d["full_path"] for d in m["documents"]]
+    assert {r.value for r in spark.read.text(f"{tmp_path}/parts/manifest-files").collect()} == set(m["output_files"])
+
+
+def test_artifacts_line_by_line(spark):
+    """The map and the instructions of a pack made by hand."""
+    docs = spark.createDataFrame([("docs/full/b.md", "b.md", "B", 1, 7, ["H1", "H2"], ["k"], None, "markdown"), ("docs/full/a/z.md", "a/z.txt", "Z", 0, 3, [], [], 2, "txt")], "full_path string, original_source string, title string, chunk_count int, tokens_estimate int, heading_samples array<string>, keywords array<string>, pages int, format string")
+    chunks = spark.createDataFrame([("docs/chunks/b_001.md", "docs/full/b.md", 1, "One"), ("docs/chunks/c_001.md", "docs/full/c.md", 1, "Two")], "path string, full_path string, chunk_index int, heading string")
+    lex = spark.createDataFrame([("docs/chunks/b_001.md", "docs/chunks/c_001.md", 0.5, ["term"])], "src string, dst string, score double, shared_terms array<string>")
+    sem = spark.createDataFrame([("docs/full/b.md", "docs/full/a/z.md", 0.9)], "src string, dst string, score double")
+    p = pack.Pack(docs, chunks, graph.fuse(None, None, sem, "document"), graph.fuse(None, lex, None, "chunk"))
+    text = pack.project_context(p).first().text
+    assert text.split("## Documents\n\n")[0].startswith("# Project Documentation Map\n\nTotal documents: 2\nTotal chunks: 1\nTotal estimated tokens: 10\n")
+    assert text.split("## Documents\n\n")[1] == (
+        "### Z\n- Original source: `a/z.txt`\n- Full document: `docs/full/a/z.md`\n- Pages: 2\n- Format: txt\n- Tokens: 3\n\n"
+        "### B\n- Original source: `b.md`\n- Full document: `docs/full/b.md`\n- Chunks: 1\n- Start with: `docs/chunks/b_001.md`\n- Format: markdown\n- Tokens: 7\n- Key headings: H1, H2\n- Keywords: k\n- Related: Z [semantic_similarity]\n"
+        "\n## Cross-Document Bridges\n\n- `docs/chunks/b_001.md` <-> `docs/chunks/c_001.md` [lexical_similarity] (score 0.5) via term\n"
+    )
+    assert "## Available Documents\n\n- **Z** (0 chunks, ~3 tokens)\n- **B** (1 chunks, ~7 tokens)\n\nGive paths" in pack.instructions(p, "codex").first().text
+
+
+def test_filter_drops_keeps_and_fills(spark, small):
+    """The query's corpus has edges that the filter drops, keeps by score, keeps by anchors, and explains by anchors."""
+    fused = {(r.src, r.dst): r for r in queries.fused_without_most_references(spark, small).collect()}
+    kept = {(r.src, r.dst): r for r in queries.QUERIES["filtered_edges"](spark, small).collect()}
+    judged = {k for k, r in fused.items() if r.sem_score and not r.ref_score}
+    assert set(kept) < set(fused) and all(k in kept for k in set(fused) - judged)
+    by_anchors = [k for k in judged & set(kept) if fused[k].sem_score < 0.8]
+    assert judged - set(kept) and by_anchors and all(fused[k].sem_score >= 0.6 for k in by_anchors)
+    assert any(fused[k].sem_score >= 0.8 for k in judged & set(kept))
+    filled = [k for k in kept if not fused[k].shared_terms and kept[k].shared_terms]
+    assert filled and all(k in judged for k in filled)
+
+
+def test_corpus_errors(spark, tmp_path):
+    got = lambda folder, expected=None: [tuple(r) for r in validate.corpus_errors(spark, str(folder), expected).collect()]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "file.md").write_text("x")
+    assert got(tmp_path / "none") == [("missing_source_dir", f"{tmp_path}/none")]
+    assert got(tmp_path / "file.md") == [("not_a_directory", f"{tmp_path}/file.md")]
+    assert got(tmp_path / "empty") == [("no_supported_files", f"{tmp_path}/empty")]
+    (tmp_path / "empty" / "x.bin").write_text("x")
+    assert got(tmp_path / "empty") == [("no_supported_files", f"{tmp_path}/empty")]
+    (tmp_path / "src" / "sub").mkdir(parents=True)
+    (tmp_path / "src" / "sub" / "here.md").write_text("# Here")
+    expected = spark.createDataFrame([("here.md",), ("gone.html",), ("gone.html",)], "original_source string")
+    assert got(tmp_path / "src") == [] and got(tmp_path / "src", expected) == [("missing_expected_document", "gone.html")]
+
+
+def test_search_reads_written_files(spark, tmp_path):
+    """A word that stands late in a document is found in its file, and isn't in the headings and previews."""
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    (src / "guide.txt").write_text("\n\n".join(f"Paragraph {k}: background." for k in range(90)) + "\n\nMore.\nThe zymurgy validators apply.")
+    (src / "rules.md").write_text("# Rules\n\nGeneral rules for release management.")
+    docs = files.documents(files.discover(spark, str(src)))
+    p = pack.build(docs)
+    pack.write(p, str(out))
+    q = spark.createDataFrame([(1, "zymurgy"), (2, "words_and_marks")], "query_id int, query string")
+    d, c = retrieval.searchable(p.documents, p.chunks, retrieval.written_files(spark, str(out)))
+    assert [(r.query_id, r.key) for r in retrieval.best_documents(d, c, q, 1).orderBy("query_id").collect()] == [(1, "docs/full/guide.md"), (2, "docs/full/guide.md")]
+    d, c = retrieval.searchable(p.documents, p.chunks)
+    assert [r.query_id for r in retrieval.best_documents(d, c, q, 1).collect()] == []
+
+
+def test_best_equals_ranked_scores(spark, small):
+    """Scoring in blocks gives what the table of all scores gives, whatever the blocks."""
+    d, c = queries._searchable(spark, small)
+    q = queries._queries(spark, small).where("query_id < 7").unionByName(spark.createDataFrame([(91, None), (92, ""), (93, "note"), (94, "note 3")], "query_id bigint, query string"))
+    whole = retrieval.chunk_scores(c, q)
+    want = sorted(map(tuple, retrieval.ranked(whole, 4).select("query_id", "key", "score").collect()))
+    docs = sorted(map(tuple, retrieval.ranked(retrieval.document_scores(d, q, whole, c), 4).select("query_id", "key", "score").collect()))
+    old = retrieval.QUERY_BLOCK, retrieval.CELLS
+    for retrieval.QUERY_BLOCK, retrieval.CELLS in (old, (4, 300)):
+        assert sorted(map(tuple, retrieval.best_chunks(c, q, 4).select("query_id", "key", "score").collect())) == want
+        assert sorted(map(tuple, retrieval.best_documents(d, c, q, 4).select("query_id", "key", "score").collect())) == docs
+    retrieval.QUERY_BLOCK, retrieval.CELLS = old
+    assert retrieval.best_chunks(c, q.limit(0), 4).collect() == [] and retrieval.best_documents(d.limit(0), c.limit(0), q, 4).collect() == []
 
 
 def test_integrity_and_metrics(spark):
