@@ -222,6 +222,8 @@ def test_search_reads_written_files(spark, tmp_path):
 def test_best_equals_ranked_scores(spark, small):
     """Scoring in blocks gives what the table of all scores gives, whatever the blocks."""
     d, c = queries._searchable(spark, small)
+    d = d.where("doc_id < 30")
+    c = c.join(d.select("full_path"), "full_path", "left_semi")
     q = queries._queries(spark, small).where("query_id < 7").unionByName(spark.createDataFrame([(91, None), (92, ""), (93, "note"), (94, "note 3")], "query_id bigint, query string"))
     whole = retrieval.chunk_scores(c, q)
     want = sorted(map(tuple, retrieval.ranked(whole, 4).select("query_id", "key", "score").collect()))
