@@ -142,16 +142,27 @@ SELECT doc_id, array_to_string(list_transform(hs[:4], lambda x: {plain_heading('
   'docs/chunks/note_' || doc_id || '_007.md' AS chunk_7, 'docs/chunks/note_' || doc_id || '_1234.md' AS chunk_1234 FROM h"""
 
 
+def unentitied(x: str) -> str:
+    """The entities that the pages hold as characters."""
+    return f"""replace(replace(replace({x}, '&quot;', '"'), '&middot;', '·'), '&amp;', '&')"""
+
+
 def unescaped(x: str) -> str:
-    """Text of a page: tags become spaces but for those within a line, which vanish; the entities that the pages hold become characters."""
-    bare = rf"regexp_replace(regexp_replace({x}, '</?(b|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g')"
-    return f"""trim(replace(replace(replace({bare}, '&quot;', '"'), '&middot;', '·'), '&amp;', '&'))"""
+    """Text of a page: tags become spaces but for those within a line, which vanish."""
+    return "trim(" + unentitied(rf"regexp_replace(regexp_replace({x}, '</?(b|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g')") + ")"
+
+
+def text_nodes(x: str) -> str:
+    """The texts between tags, joined."""
+    each = f"list_filter(list_transform(string_split(regexp_replace({unentitied(x)}, '<[^>]*>', chr(1), 'g'), chr(1)), lambda t: trim(t)), lambda t: t <> '')"
+    return f"array_to_string({each}, ' ')"
 
 
-# the pages' articles are their content; pages have one heading, and neither tables nor images
-SQL["html_title_counts"] = rf"""WITH parts AS (SELECT page_id, {unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages WHERE html IS NOT NULL),
-texts AS (SELECT *, {unescaped("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, regexp_extract_all({unescaped("article")}, '[\p{{L}}\p{{N}}]+') AS words FROM parts)
-SELECT page_id, title, '# ' || regexp_replace(h1, '([\\&<`\[>~#=+|*_-])', '\\\1', 'g') AS headings, 0 AS tables, 0 AS images, len(words)::INT AS n_words, md5(array_to_string(words, ' ')) AS words FROM texts"""
+# content is the article if it has 200 characters, else it with the advertisement above it, else these and the title; pages have one heading, and neither tables nor images
+SQL["html_title_counts"] = rf"""WITH parts AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, regexp_extract(html, '(?s)(<div class="ad">.*?</div>)', 1) AS ad FROM pages WHERE html IS NOT NULL),
+scoped AS (SELECT *, CASE WHEN length({text_nodes('article')}) >= 200 THEN article WHEN length({text_nodes('ad || article')}) >= 200 THEN ad || article ELSE title || ' ' || ad || article END AS scope FROM parts),
+texts AS (SELECT *, {unescaped("regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, regexp_extract_all({unescaped("scope")}, '[\p{{L}}\p{{N}}]+') AS words FROM scoped)
+SELECT page_id, {unescaped("title")} AS title, '# ' || regexp_replace(h1, '([\\&<`\[>~#=+|*_-])', '\\\1', 'g') AS headings, 0 AS tables, 0 AS images, len(words)::INT AS n_words, md5(array_to_string(words, ' ')) AS words FROM texts"""
 
 # --- PDF text ---
 
