@@ -93,19 +93,24 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 _KEY = ["url", "page_id", "digest", "copy"]
 
 
-def _compress(date: str):
-    """Rows (url, page_id, digest, copy, html) to (url, page_id, digest, copy, payload, size, record)."""
+def _compress(date: str, whole: bool):
+    """Rows (url, page_id, digest, copy, html) to (url, page_id, digest, copy, payload, size, record), or, if not whole, to (url, page_id, digest, copy, size)."""
 
     def run(batches):
         for batch in batches:
             keys = [batch.column(c).to_pylist() for c in range(4)]
             done, size, begin = [], 0, 0
             for k, html in enumerate(batch.column(4).cast(pa.binary())):
-                done.append(page_record(keys[1][k], keys[0][k], html.as_py(), keys[3][k], date))
-                size += len(done[-1][0])
+                gz, payload = page_record(keys[1][k], keys[0][k], html.as_py(), keys[3][k], date)
+                done.append((gz, payload, len(gz)) if whole else (None, None, len(gz)))
+                size += done[-1][2] if whole else 0
                 if size > 1 << 24 or k + 1 == len(batch):
-                    gz, payload = zip(*done)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c)[begin : k + 1] for c in range(4)), pa.array(payload, pa.string()), pa.array(list(map(len, gz)), pa.int64()), pa.array(gz, pa.binary())], names=[*_KEY, "payload", "size", "record"])
+                    records, payloads, sizes = zip(*done)
+                    own = [batch.column(c)[begin : k + 1] for c in range(4)]
+                    if whole:
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(payloads, pa.string()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], names=[*_KEY, "payload", "size", "record"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64())], names=[*_KEY, "size"])
                     done, size, begin = [], 0, k + 1
 
     return run
@@ -141,10 +146,12 @@ def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str =
     own = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{id_col}`").alias("page_id"), F.sha1(F.col(f"`{html_col}`").cast("binary")).alias("digest"), F.col(f"`{html_col}`").alias("html")).where("html IS NOT NULL")
     id_type = own.schema["page_id"].dataType.simpleString()
     shape = f"url string, page_id {id_type}, digest string, copy bigint"
-    made = _numbered(own, _KEY[:3]).select(*_KEY, "html").mapInArrow(lean(_compress(date)), f"{shape}, payload string, size bigint, record binary")
-    records = cut(made, "warc-records")
+    made = _numbered(own, _KEY[:3]).select(*_KEY, "html")
+    # records are compressed twice, for their sizes and to be written: that costs less than to store them
+    sizes = cut(made.mapInArrow(lean(_compress(date, False)), f"{shape}, size bigint"), "warc-sizes")
+    records = made.mapInArrow(lean(_compress(date, True)), f"{shape}, payload string, size bigint, record binary")
     order = [(F.coalesce("url", F.lit("")) == "").asc(), F.col("url").asc_nulls_last(), F.col("page_id").asc_nulls_last(), F.col("digest"), F.col("copy")]
-    keys = records.select(*_KEY, "size").repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = sizes.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def begin(batches):
         """Where each record begins among those of the task."""
