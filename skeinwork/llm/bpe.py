@@ -4,10 +4,12 @@ A text of up to CHUNK characters is one chunk. A longer one is cut into chunks t
 overlap their neighbours by OVERLAP characters on both sides. Each chunk is
 pre-tokenised by itself, in parallel. A boundary between pre-tokens that both
 neighbours see is where they resynchronise: the pattern looks only ahead, so from
-there on both cut alike, and the text is cut there. If a chunk and its predecessor
-share none (one pre-token is longer than the overlap), the text from the last proven
-cut to its end is one piece. The pieces are encoded in parallel and their ids joined.
-Decoding gathers the bytes of the ids and joins them.
+there on both cut alike, and the text is cut there. Chunks that share none with their
+predecessor (a pre-token is longer than the overlap) are joined to it and pre-tokenised
+anew as one chunk, until all neighbours share one: so only the chunks that such a
+pre-token covers are one piece, and the text behind it is parallel again. The pieces are
+encoded in parallel and their ids joined. Decoding gathers the bytes of the ids and joins
+them; the query decodes what it encoded.
 
 Defined results: a null text has null ids, an empty text none. White space and case
 are kept; decoding gives back the bytes. Bytes that aren't UTF-8 are read as U+FFFD.
@@ -23,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,9 +69,9 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(memoryview(self.core.encode_to_tiktoken_buffer(text, set())), np.uint32)
 
-    def boundaries(self, text: str) -> list[int]:
+    def boundaries(self, text: str) -> np.ndarray:
         """Where pre-tokens end."""
-        return [m.end() for m in self.pattern.finditer(text)]
+        return np.fromiter((m.end() for m in self.pattern.finditer(text)), np.int64)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of many lists of ids, and their bounds; all ids must be in the vocabulary."""
@@ -111,17 +114,9 @@ def _cuts(text: str, chunk: int, overlap: int):
         yield k, a, text[a : (k + 1) * chunk + overlap]
 
 
-def encoded(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row for each row of docs: (doc_id, ids), the ids being packed as unsigned integers of two bytes, or of four where the vocabulary needs them."""
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    id_type = own.schema["doc_id"].dataType.simpleString()
-    long = F.length("text") > chunk
-
-    def whole(batches):
-        bpe = loaded(shared)
-        for batch in batches:
-            for i, j in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], _packed(bpe, texts_of(batch.column(1)[i:j]))], names=["doc_id", "ids"])
+def _pieces(long: DataFrame, shared, chunk: int, overlap: int) -> DataFrame:
+    """long (doc_id, text) to the pieces (uid, doc_id, piece, text) that are encoded apart: those of a uid, in order, are a text, cut where pre-tokens end."""
+    id_type = long.schema["doc_id"].dataType.simpleString()
 
     def chunks(batches):
         for batch in batches:
@@ -132,43 +127,70 @@ def encoded(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "te
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(c)[r : r + 1]] * len(some)) for c in (0, 1)] + [pa.array([p[0] for p in some], pa.int32()), pa.array([p[1] for p in some], pa.int64()), pa.array([p[2] for p in some], pa.string())], names=["uid", "doc_id", "k", "first", "text"])
 
     def zones(batches):
-        """Boundaries in the overlaps with the chunks before and after; none that may depend on what lies behind the chunk."""
+        """Boundaries in the overlaps with the chunks before and after those from k to last; none that may depend on what lies behind them."""
         bpe = loaded(shared)
         for batch in batches:
-            left, right = [], []
-            for k, a, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(3))):
-                at = np.array(bpe.boundaries(text), np.int64)
+            before, after = [], []
+            for k, last, a, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), texts_of(batch.column(4))):
+                at = bpe.boundaries(text)
                 at = at[at + AHEAD <= len(text)] + a
-                left.append(at[(at >= k * chunk - overlap) & (at <= k * chunk + overlap)])
-                right.append(at[(at >= (k + 1) * chunk - overlap) & (at <= (k + 1) * chunk + overlap)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))], names=["uid", "k", "before", "after"])
+                before.append(at[abs(at - k * chunk) <= overlap])
+                after.append(at[abs(at - (last + 1) * chunk) <= overlap])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int64()))], names=["uid", "k", "last", "before", "after"])
 
-    def pieces(batches):
+    def spans(batches):
         """The text from a to z of each chunk."""
         for batch in batches:
             first, a, z = (batch.column(c).to_pylist() for c in (3, 5, 6))
             texts = [t[x - f : None if y is None else y - f] for t, f, x, y in zip(texts_of(batch.column(4)), first, a, z)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(7), batch.column(2), pa.array(texts, pa.string())], names=["uid", "doc_id", "piece", "k", "text"])
 
+    shape, joined = f"uid bigint, doc_id {id_type}, piece int, k int, text string", F.expr("listagg(text, '') WITHIN GROUP (ORDER BY k)").alias("text")
+    zoned = "uid bigint, k int, last int, before array<bigint>, after array<bigint>"
+    cutup = cut(long.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text").mapInArrow(chunks, f"uid bigint, doc_id {id_type}, k int, first bigint, text string").repartition("uid", "k"), "chunks")
+    w = Window.partitionBy("uid").orderBy("k")
+    now = cutup.select("uid", "k", F.col("k").alias("last"), "first", "text").mapInArrow(zones, zoned)
+    while True:
+        sync = now.withColumn("at", F.array_min(F.array_intersect("before", F.lag("after").over(w))))
+        sync = cut(sync.withColumn("head", F.max(F.when(F.col("at").isNotNull() | (F.col("k") == 0), F.col("k"))).over(w)), "boundaries")
+        apart = sync.where("k <> head")
+        if apart.isEmpty():
+            break
+        groups = sync.join(apart.select("uid", "head").distinct(), ["uid", "head"], "left_semi").groupBy("uid", "head").agg(F.max("last").alias("last"))
+        members = cutup.join(groups.withColumn("k", F.explode(F.sequence("head", "last"))), ["uid", "k"])
+        core = lambda k: (F.col(k) * F.lit(chunk).cast("long"))
+        a = F.when(F.col("k") == F.col("head"), F.col("first")).otherwise(core("k"))
+        z = F.when(F.col("k") < F.col("last"), core("k") + chunk)
+        glued = members.select("uid", "doc_id", "k", "first", "text", a.alias("a"), z.alias("z"), F.col("head").alias("piece")).mapInArrow(spans, shape).groupBy("uid", "piece").agg(joined)
+        start = F.greatest(F.lit(0).cast("long"), core("head") - overlap)
+        again = glued.withColumnRenamed("piece", "head").join(groups, ["uid", "head"]).select("uid", F.col("head").alias("k"), "last", start.alias("first"), "text").mapInArrow(zones, zoned)
+        now = sync.join(groups.select("uid", "head"), ["uid", "head"], "left_anti").select("uid", "k", "last", "before", "after").unionByName(again)
+    begin = sync.select("uid", F.col("k").alias("piece"), F.coalesce("at", F.lit(0).cast("long")).alias("at"), F.explode(F.sequence("k", "last")).alias("k"), (F.col("last") > F.col("k")).alias("together"))
+    edges = begin.withColumn("a", F.when(F.col("k") == F.col("piece"), F.col("at")).otherwise(F.col("k") * F.lit(chunk).cast("long"))).drop("at").withColumn("z", F.lead("a").over(w))
+    part = cutup.join(edges, ["uid", "k"]).select("uid", "doc_id", "k", "first", "text", "a", "z", "piece", "together")
+    alone = part.where("NOT together").mapInArrow(spans, shape).drop("k")
+    return alone.unionByName(part.where("together").mapInArrow(spans, shape).groupBy("uid", "doc_id", "piece").agg(joined))
+
+
+def encoded(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row for each row of docs: (doc_id, ids), the ids being packed as unsigned integers of two bytes, or of four where the vocabulary needs them."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    id_type = own.schema["doc_id"].dataType.simpleString()
+    long = F.length("text") > chunk
+
+    def whole(batches):
+        bpe = loaded(shared)
+        for batch in batches:
+            for i, j in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], _packed(bpe, texts_of(batch.column(1)[i:j]))], names=["doc_id", "ids"])
+
     def encode_pieces(batches):
         bpe = loaded(shared)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(bpe, texts_of(batch.column(3)))], names=["uid", "doc_id", "piece", "ids"])
 
     short = own.where(~F.coalesce(long, F.lit(False))).mapInArrow(whole, f"doc_id {id_type}, ids binary")
-    cutup = cut(own.where(long).withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "text").mapInArrow(chunks, f"uid bigint, doc_id {id_type}, k int, first bigint, text string").repartition("uid", "k"), "chunks")
-    w = Window.partitionBy("uid").orderBy("k")
-    seen = cutup.select("uid", "k", "first", "text").mapInArrow(zones, "uid bigint, k int, before array<bigint>, after array<bigint>")
-    sync = seen.withColumn("at", F.array_min(F.array_intersect("before", F.lag("after").over(w))))
-    proven = sync.withColumn("good", F.min((F.col("at").isNotNull() | (F.col("k") == 0)).cast("int")).over(w) == 1)
-    begin = proven.select("uid", "k", "good", F.when(F.col("k") == 0, 0).when(F.col("good"), F.col("at")).otherwise(F.col("k").cast("long") * chunk).alias("a"))
-    edges = begin.withColumn("z", F.lead("a").over(w)).withColumn("piece", F.max(F.when(F.col("good"), F.col("k"))).over(w)).drop("good")
-    edges = edges.withColumn("together", F.count("*").over(Window.partitionBy("uid", "piece")))
-    part = cutup.join(edges, ["uid", "k"]).select("uid", "doc_id", "k", "first", "text", "a", "z", "piece", "together")
-    shape = f"uid bigint, doc_id {id_type}, piece int, k int, text string"
-    alone = part.where("together = 1").mapInArrow(pieces, shape).drop("k")
-    glued = part.where("together > 1").mapInArrow(pieces, shape).groupBy("uid", "doc_id", "piece").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY k)").alias("text"))
-    done = alone.unionByName(glued).mapInArrow(encode_pieces, f"uid bigint, doc_id {id_type}, piece int, ids binary")
+    done = _pieces(own.where(long), shared, chunk, overlap).mapInArrow(encode_pieces, f"uid bigint, doc_id {id_type}, piece int, ids binary")
     joined = done.groupBy("uid", "doc_id").agg(F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY piece)").alias("ids"))
     return short.unionByName(joined.select("doc_id", "ids"))
 
@@ -198,7 +220,7 @@ def decode_packed(bpe: Bpe, col: pa.Array) -> pa.Array:
 
 
 def unpack(rows: DataFrame, shared) -> DataFrame:
-    """rows (doc_id, packed ids) to (doc_id, n_tokens, n_bytes, ids): ids as integers, and how many bytes they decode to."""
+    """rows (doc_id, packed ids) to (doc_id, n_tokens, n_bytes, ids, text): ids as integers, and the text that they decode to, which has n_bytes."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -208,13 +230,15 @@ def unpack(rows: DataFrame, shared) -> DataFrame:
                 col = batch.column(1)[i:j]
                 data, off = raw_bytes(col)
                 ids, bounds, none = np.frombuffer(data.tobytes(), bpe.kind), off // np.dtype(bpe.kind).itemsize, np.asarray(col.is_null())
-                total = np.concatenate([[0], np.cumsum(bpe.length[ids])])[bounds]
+                back = decode_packed(bpe, col)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=np.append(none, False)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(bounds), mask=none), pa.array(np.diff(total), mask=none), lists], names=["doc_id", "n_tokens", "n_bytes", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(bounds), mask=none), pc.binary_length(back).cast(pa.int64()), lists, back], names=["doc_id", "n_tokens", "n_bytes", "ids", "bytes"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, n_bytes bigint, ids array<int>")
+    found = rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, n_bytes bigint, ids array<int>, bytes binary")
+    return found.select("doc_id", "n_tokens", "n_bytes", "ids", F.col("bytes").cast("string").alias("text"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and the text that they decode to."""
     docs, shared = spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(spark)
     return unpack(encoded(docs, shared), shared)

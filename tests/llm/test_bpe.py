@@ -60,6 +60,24 @@ def test_query_reads_every_document(spark, small):
     assert sorted(r.doc_id for r in rows) == sorted(docs) and all(r.n_bytes == len(docs[r.doc_id].encode()) for r in rows)
 
 
+def test_query_decodes_what_it_encoded(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert {r.doc_id: r.text for r in bpe.op4_byte_bpe(spark, small).collect()} == docs
+
+
+def test_a_long_pre_token_leaves_the_text_behind_it_parallel(spark, shared):
+    r = random.Random(2)
+    words = lambda n: "".join(r.choice(["ab ", "it's ", "1 ", "\n", "!", "é"]) for _ in range(n))
+    texts = [words(500) + "a" * 1000 + words(2000) + " " * 700 + words(2000), "x" * 3000, words(3000)]
+    rows = bpe._pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), shared, 100, 8).collect()
+    b = bpe.loaded(shared)
+    for k, text in enumerate(texts):
+        own = [x.text for x in sorted((x for x in rows if x.doc_id == k), key=lambda x: x.piece)]
+        assert "".join(own) == text and [i for x in own for i in b.encode(x)] == list(b.encode(text))
+        # a piece is a few chunks, but for the long pre-token in it
+        assert max(len(x.replace("a" * 1000, "").replace(" " * 699, "").replace("x" * 3000, "")) for x in own) < 500
+
+
 def test_token_file_round_trip(spark, docs, shared):
     packed = bpe.encoded(docs, shared).cache()
     ranks = tokenfile.rank_table(packed).cache()
