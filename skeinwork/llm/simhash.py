@@ -23,6 +23,10 @@ the group: so the density falls and the prefixes get shorter. The rounds end whe
 is that deep, or when hardly any member was joined. No task holds more than
 the fingerprints under one node, of PART or so, or the triples of one leaf.
 
+What the forest leaves apart, since no trie brought it together, or beyond the radius, or in
+leaves that stay deep, or since another member stood for its group, an exact join of the
+texts of different groups finds (links.py). So groups are those of all similar texts.
+
 Defined results: null texts and texts without words have no fingerprint, are in no
 group and stay. Of each group the row with the least id stays (null last, then by a
 hash of the text); rows that agree in id and text are copies of each other. Ids may
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .links import WITHIN, candidates, shingles
 from .shared import binary_array, bloom, cut, lean, raw_bytes, slices, without
 from .textvec import mix, span_hash, words
 
@@ -101,23 +106,6 @@ def fingerprints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(out * 2 > size[:, None], axis=1), size == 0
 
 
-def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 32-bit hashes of each text's word triples (of all its words where it has fewer than three), and the bounds of the texts."""
-    data, off = raw_bytes(col)
-    n = len(col)
-    start, end, first = words(data, off)
-    h = span_hash(data, start, end) if len(start) else np.zeros(0, np.uint64)
-    h = np.concatenate([h, np.zeros(2, np.uint64)])
-    size = np.diff(first)
-    take = np.where(size >= 3, size - 2, np.minimum(size, 1))
-    owner = np.repeat(np.arange(n), take)
-    at = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + first[:-1][owner]
-    room = np.minimum(size[owner], 3)
-    x = mix(h[at] * np.uint64(5) + np.where(room > 1, h[at + 1], np.uint64(0)) * np.uint64(3) + np.where(room > 2, h[at + 2], np.uint64(0)))
-    key = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (x >> np.uint64(32)))
-    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted((key >> np.uint64(32)).astype(np.int64), np.arange(n + 1))
-
-
 def recall(depth: int, tries: int, far: float) -> float:
     """The chance that fingerprints that differ in that share of bits agree in the first bits of one trie at least."""
     return 1 - (1 - (1 - far) ** depth) ** tries
@@ -352,20 +340,21 @@ def _forest(nodes: DataFrame, n: int, shape: tuple[int, int], radius: tuple[int,
     return planted.repartition("trie", "at", "prefix").sortWithinPartitions("trie", "at", "prefix").mapInArrow(lean(search), "a binary, b binary, tree bigint")
 
 
-def _shingled(edges: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
-    """The ends of the edges with their texts' shingles, (f, s); docs (doc_id, text, key), repeats whether some of its rows agree in id and text."""
+def _sets(batches):
+    """Rows (f, text) to (f, s), s being the text's shingles."""
+    for batch in batches:
+        for i, j in slices(batch.column(1)):
+            values, bounds = shingles(batch.column(1)[i:j])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], binary_array(values.view(np.uint8), bounds * 4)], names=["f", "s"])
 
-    def sets(batches):
-        for batch in batches:
-            for i, j in slices(batch.column(1)):
-                values, bounds = shingles(batch.column(1)[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], binary_array(values.view(np.uint8), bounds * 4)], names=["f", "s"])
 
+def _shingled(edges: DataFrame, nodes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """The ends of the edges with their texts' shingles, (f, s); docs (doc_id, text, key), repeats whether some of its rows agree in id and text."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", "rep"), "f").select("f", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"))
     ends = cut(ends, "ends")
     # most texts have no near copy: they needn't be shuffled
     texts = docs.where(bloom(ends.select("rep_key"), ends.count())(F.col("key"))).join(ends, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("f", "text")
-    known = texts.mapInArrow(lean(sets), "f binary, s binary")
+    known = texts.mapInArrow(lean(_sets), "f binary, s binary")
     return cut(known.dropDuplicates(["f"]) if repeats else known, "shingles")
 
 
@@ -384,7 +373,8 @@ def _verify(edges: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good))
 
     at = lambda k: known.select(F.col("f").alias(k), F.col("s").alias("s" + k))
-    return edges.join(at("a"), "a").join(at("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(close), "a binary, b binary")
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.join(at("a"), "a").join(at("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(close), f"a {kind}, b {kind}")
 
 
 def _settle(dense: DataFrame, roots: DataFrame, known: DataFrame, radius: tuple[int, int], similarity: float) -> DataFrame:
@@ -430,6 +420,23 @@ def _hubs(deep: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[int, Dat
     return named.count(), cut(named.groupBy("root").agg(F.max_by("f", F.struct("n", "f")).alias("f")).select("f"), "hubs")
 
 
+def _completed(roots: DataFrame, prints: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The components (node, root) with all links between texts of different ones; prints (f, key), docs (text, key)."""
+    named = prints.select("f", "key").distinct().join(roots.withColumnRenamed("node", "f"), "f", "left")
+    low = F.lit((1 << WITHIN) - 1)
+    units = cut(named.select("f", "key", F.xxhash64(F.coalesce("root", "f")).bitwiseAND(F.bitwise_not(low.cast("long"))).bitwiseOR(F.xxhash64("key").bitwiseAND(low)).alias("id")), "units")
+    pairs = cut(candidates(docs.select("key", "text"), units, n, similarity), "apart")
+    if pairs.isEmpty():
+        return roots
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(units, "id").select("id", "key"), "apart-ends")
+    texts = docs.where(bloom(ends.select("key"), ends.count())(F.col("key"))).join(ends, "key").select(F.col("id").alias("f"), "text")
+    known = cut(texts.mapInArrow(lean(_sets), "f bigint, s binary").distinct(), "apart-shingles")
+    at = lambda k: units.select(F.col("id").alias(k), F.col("f").alias("f" + k))
+    more = _verify(pairs, known, similarity).distinct().join(at("a"), "a").join(at("b"), "b").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    more = cut(more.distinct(), "joined")
+    return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows that are in a group of near copies: (doc_id, key, n, keep_id, is_kept). key hashes the text; n counts the rows that agree in both."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("key")).where("text IS NOT NULL")
@@ -470,6 +477,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         size, turn = todo.count(), turn + 1
         if size > 0.9 * before:
             break
+    roots = _completed(cut(roots, "roots"), prints, own, n, similarity)
     grouped = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "rep", "size", F.coalesce("root", "f").alias("root"))
     groups = grouped.groupBy("root").agg(F.min("rep").alias("keep"), F.sum("size").alias("all")).where(F.col("all") > 1)
     members = grouped.join(groups, "root").select("f", "keep")

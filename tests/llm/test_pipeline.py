@@ -1,11 +1,12 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from skeinwork.llm import langid, packing
+from skeinwork.llm import langid, links, packing, simhash
 
 from .test_packing import check
-from .test_simhash import brute
+from .test_simhash import brute, edited
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,3 +39,55 @@ def test_odd_rows(spark, tmp_path, rows):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(got) == (1 if len(rows) > 1 else len(rows))
+
+
+def near_pairs(rng, n):
+    """Texts of which many have an edited copy near the threshold, on both sides of it, and some share long passages."""
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(3, 200)))]
+        words = words + passage if k % 10 == 0 else words
+        rows.append((2 * k, " ".join(words)))
+        other = edited(rng, words, ("replaced", "cut", "extended")[k % 3], (0.48, 0.5, 0.52, 0.6)[k // 3 % 4])
+        if other:
+            rows.append((2 * k + 1, " ".join(other)))
+    return rows
+
+
+def test_near_loses_no_link(spark):
+    """All pairs at the threshold are found, far from what the forest's recall and radius promise."""
+    rows = near_pairs(np.random.default_rng(21), 1500)
+    left = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - brute(rows)[1]
+
+
+def test_near_loses_no_link_in_leaves_that_stay_deep(spark, monkeypatch):
+    """With tries that part nearly all copies and never climb, the rounds end at once; the links are found nevertheless."""
+    forest = simhash._forest
+    monkeypatch.setattr(simhash, "_forest", lambda nodes, n, shape, radius, leaf, turn=0: forest(nodes, n, (0, 1), radius, 2, turn))
+    rng = np.random.default_rng(22)
+    base = [f"w{k}" for k in range(120)]
+    # a chain: neighbours are similar, others aren't; and copies of one text
+    rows = [(k, " ".join(f"c{x}" for x in range(30 * k, 30 * k + 120))) for k in range(40)]
+    rows += [(100 + k, " ".join(edited(rng, base, "replaced", 0.75))) for k in range(300)]
+    left = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - brute(rows)[1]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7])
+def test_prefixes_hold_as_many_common_shingles_as_similar_texts_need(similarity):
+    rows = near_pairs(np.random.default_rng(23), 200)
+    col = pa.array([t for _, t in rows])
+    values, owner, size = links.prefixes(col, np.random.default_rng(1).integers(0, 9, 1 << links.COUNT_BITS).astype(np.uint8), similarity)
+    x = np.empty(len(values), links._ENTRY)
+    x["shingle"], x["size"], x["id"] = values, size[owner], owner.astype(np.uint64) << np.uint64(links.WITHIN)
+    got = {}
+    for a, b, need, n in links.meetings(x, similarity):
+        got |= {(int(i) >> links.WITHIN, int(j) >> links.WITHIN): k >= m for i, j, k, m in zip(a, b, n, need)}
+    v, bounds = links.shingles(col)
+    sets = [set(v[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:])]
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+    assert near and all(got[j, i] for i, j in near)
+    # and nothing is compared with all others
+    assert sum(got.values()) < 3 * len(near) + 400
