@@ -5,11 +5,14 @@ texts of Jaccard similarity t share a shingle among the first of both, a text's
 ones being all but those that a similar text may lack (its prefix). How many they must
 share there, if they are similar, follows from their sizes. So texts meet under the
 shingles of their prefixes, those that meet often enough are candidates, and no similar
-pair is lost. How frequent shingles are is told by a sample, which bears on the work only.
-
-Shingles that are in one prefix only needn't move: a filter of bounded size, which
-lets more through where there are more, never less, holds those that occur twice.
-Entries move packed, by ranges of shingles, each held by a task at a time.
+pair is lost. The order bears on the work only: shingles of one text come first, the
+others by how many texts have them, as counted over all texts. So hardly any pairs meet
+but similar ones, where half of each text's shingles are its own.
+
+What is counted goes to all tasks in two tables of bounded size: a filter of the shingles
+that occur twice, which lets more through where there are more, never less, and for
+ranges of shingles the count of the most frequent one. Shingles that occur once needn't
+move any further. Entries move packed, by ranges of shingles, each held by a task at a time.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from .shared import binary_array, lean, raw_bytes, slices
 from .textvec import mix, span_hash, words
 
-#: Texts of the sample, or so, and bits of a shingle by which it counts them.
-SAMPLE, COUNT_BITS = 1 << 14, 20
+#: Bits of a shingle by which its count is looked up (16 MB).
+COUNT_BITS = 24
 #: Bytes of text whose entries are in one range, or so.
 PART_BYTES = 1 << 25
 #: Bits of the filter of repeated shingles, at most (32 MB).
@@ -59,28 +62,50 @@ def _similar_part(size: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity * size - 1e-9).astype(np.int64)
 
 
-def prefixes(col: pa.Array, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shingles of the prefixes of texts, the number of the text of each, and the sizes of all texts' sets."""
+def counts(x: np.ndarray, deep: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that agree in their first bits to their part of the filter of those that occur twice, by their first deep bits, and of the ranks by COUNT_BITS: 0 where none does, else it grows with the logarithm of the highest count."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    n, value = np.diff(np.append(first, len(x))), x[first]
+    n, value = n[n > 1], value[n > 1]
+    hit = np.zeros(1 << (deep - bits), bool)
+    hit[(value >> np.uint32(32 - deep)) & np.uint32(len(hit) - 1)] = True
+    rank = np.zeros(1 << (COUNT_BITS - bits), np.uint8)
+    np.maximum.at(rank, (value >> np.uint32(32 - COUNT_BITS)) & np.uint32(len(rank) - 1), np.minimum(4 * np.log2(n), 255).astype(np.uint8))
+    return hit, rank
+
+
+def _held(filter_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which shingles a filter, packed to bytes, holds."""
+    at = values >> np.uint32(32 - (8 * len(filter_)).bit_length() + 1)
+    return (filter_[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def prefixes(col: pa.Array, rank: np.ndarray, similarity: float, twice: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of the prefixes of texts, the number of the text of each, and the sizes of all texts' sets; those that the filter twice doesn't hold are first in the order."""
     values, bounds = shingles(col)
     size = np.diff(bounds)
     owner = np.repeat(np.arange(len(size)), size)
-    key = (owner.astype(np.uint64) << np.uint64(40)) | (rank[values >> np.uint32(32 - COUNT_BITS)].astype(np.uint64) << np.uint64(32)) | values
+    of = rank[values >> np.uint32(32 - COUNT_BITS)]
+    if twice is not None:
+        of = np.where(_held(twice, values), of, 0)
+    key = (owner.astype(np.uint64) << np.uint64(40)) | (of.astype(np.uint64) << np.uint64(32)) | values
     key.sort()
     first = np.arange(len(key)) - bounds[:-1][owner] <= (size - _similar_part(size, similarity))[owner]
     return key[first].astype(np.uint32), owner[first], size
 
 
 def _scattered(runs, bits: int):
-    """Arrays of shingles or entries to batches (part, data), a part being a range of shingles."""
+    """Arrays of shingles or entries to batches (part, data), a part being a range of shingles: sorted, all first bytes of them, all second ones and so on, which the shuffle compresses better."""
     kept, n = [], 0
 
     def packed():
         x = np.concatenate(kept)
+        x = x[np.argsort(x["shingle"], kind="stable")] if x.dtype.names else np.sort(x)
         part = (x["shingle"] if x.dtype.names else x).astype(np.uint64) >> np.uint64(32 - bits)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), binary_array(x[order].view(np.uint8), np.append(first, len(x)) * x.itemsize)], names=["part", "data"])
+        ends, rows = np.append(first, len(x)), x.view(np.uint8).reshape(len(x), x.itemsize)
+        data = np.concatenate([rows[a:b].T.ravel() for a, b in zip(ends[:-1], ends[1:])])
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), binary_array(data, ends * x.itemsize)], names=["part", "data"])
 
     for x in runs:
         kept, n = [*kept, x] if len(x) else kept, n + len(x)
@@ -100,7 +125,7 @@ def _gathered(batches, dtype):
                 yield now, np.concatenate(kept)
                 kept = []
             now = part
-            kept.append(np.frombuffer(data.as_buffer(), dtype).copy())
+            kept.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel())
     if kept:
         yield now, np.concatenate(kept)
 
@@ -148,50 +173,36 @@ def meetings(x: np.ndarray, similarity: float):
         yield counted()
 
 
-def candidates(texts: DataFrame, units: DataFrame, n: int, similarity: float) -> DataFrame:
-    """texts (key, text), of about n keys, and units (key, id), ids being the same above their lowest bits WITHIN for the texts of a group, to pairs (a, b) of ids: among them all those of similar texts of different groups."""
+def candidates(texts: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """texts (key, text), and units (key, id), ids being the same above their lowest bits WITHIN for the texts of a group, to pairs (a, b) of ids: among them all those of similar texts of different groups."""
     sc = texts.sparkSession.sparkContext
-    every = max(1, n // SAMPLE)
-
-    def count(batches):
-        for batch in batches:
-            for i, j in slices(batch.column(1)):
-                found = np.bincount(shingles(batch.column(1)[i:j])[0] >> np.uint32(32 - COUNT_BITS), minlength=1 << COUNT_BITS)
-                at = np.flatnonzero(found)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["at", "n"])
-
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
-    often = some.mapInArrow(lean(count), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where("n > 2").toArrow()  # at most 2 ** COUNT_BITS rows
-    table = np.zeros(1 << COUNT_BITS, np.uint8)
-    table[often["at"].to_numpy()] = np.log2(often["n"].to_numpy()).astype(np.uint8)
-    rank = sc.broadcast(table)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = math.ceil(math.log2(max(1, size / PART_BYTES, min(size >> 20, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
     deep = min(FILTER_BITS, max(bits + 3, math.ceil(math.log2(size / 3 + 8))))
 
     def all_of(batches):
-        yield from _scattered((prefixes(b.column(0)[i:j], rank.value, similarity)[0] for b in batches for i, j in slices(b.column(0))), bits)
+        yield from _scattered((shingles(b.column(0)[i:j])[0] for b in batches for i, j in slices(b.column(0))), bits)
 
-    def repeated(batches):
+    def counted(batches):
         for part, x in _gathered(batches, "<u4"):
             x.sort()
-            hit = np.zeros(1 << (deep - bits), bool)
-            hit[(x[1:][x[1:] == x[:-1]] >> np.uint32(32 - deep)) & np.uint32(len(hit) - 1)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(hit).tobytes()])], names=["part", "hit"])
+            hit, rank = counts(x, deep, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(hit).tobytes()]), pa.array([rank.tobytes()])], names=["part", "hit", "rank"])
 
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
-    found = by_part(texts.select("text").mapInArrow(lean(all_of), "part int, data binary")).mapInArrow(lean(repeated), "part int, hit binary").toArrow()
-    table = np.zeros((1 << bits, 1 << (deep - bits - 3)), np.uint8)
-    for part, hit in zip(found["part"].to_pylist(), found["hit"]):
-        table[part] = np.frombuffer(hit.as_buffer(), np.uint8)
-    twice = sc.broadcast(table.ravel())
+    found = by_part(texts.select("text").mapInArrow(lean(all_of), "part int, data binary")).mapInArrow(lean(counted), "part int, hit binary, rank binary").toArrow()
+    tables = np.zeros((1 << bits, 1 << (deep - bits - 3)), np.uint8), np.zeros((1 << bits, 1 << (COUNT_BITS - bits)), np.uint8)
+    for table, name in zip(tables, ("hit", "rank")):
+        for part, data in zip(found["part"].to_pylist(), found[name]):
+            table[part] = np.frombuffer(data.as_buffer(), np.uint8)
+    twice, rank = (sc.broadcast(table.ravel()) for table in tables)
+    del found, tables
 
     def surviving(batches):
         for batch in batches:
             for i, j in slices(batch.column(1)):
-                values, owner, size = prefixes(batch.column(1)[i:j], rank.value, similarity)
-                at = values >> np.uint32(32 - deep)
-                hit = (twice.value[at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & np.uint8(1) == 1
+                values, owner, size = prefixes(batch.column(1)[i:j], rank.value, similarity, twice.value)
+                hit = _held(twice.value, values)
                 bounds = np.searchsorted(owner[hit], np.arange(j - i + 1))
                 out = pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(size), binary_array(values[hit].view(np.uint8), bounds * 4)], names=["key", "size", "data"])
                 yield out.filter(pa.array(np.diff(bounds) > 0))

@@ -420,12 +420,12 @@ def _hubs(deep: DataFrame, roots: DataFrame, links: DataFrame) -> tuple[int, Dat
     return named.count(), cut(named.groupBy("root").agg(F.max_by("f", F.struct("n", "f")).alias("f")).select("f"), "hubs")
 
 
-def _completed(roots: DataFrame, prints: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+def _completed(roots: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The components (node, root) with all links between texts of different ones; prints (f, key), docs (text, key)."""
     named = prints.select("f", "key").distinct().join(roots.withColumnRenamed("node", "f"), "f", "left")
     low = F.lit((1 << WITHIN) - 1)
     units = cut(named.select("f", "key", F.xxhash64(F.coalesce("root", "f")).bitwiseAND(F.bitwise_not(low.cast("long"))).bitwiseOR(F.xxhash64("key").bitwiseAND(low)).alias("id")), "units")
-    pairs = cut(candidates(docs.select("key", "text"), units, n, similarity), "apart")
+    pairs = cut(candidates(docs.select("key", "text"), units, similarity), "apart")
     if pairs.isEmpty():
         return roots
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(units, "id").select("id", "key"), "apart-ends")
@@ -477,7 +477,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         size, turn = todo.count(), turn + 1
         if size > 0.9 * before:
             break
-    roots = _completed(cut(roots, "roots"), prints, own, n, similarity)
+    roots = _completed(cut(roots, "roots"), prints, own, similarity)
     grouped = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "rep", "size", F.coalesce("root", "f").alias("root"))
     groups = grouped.groupBy("root").agg(F.min("rep").alias("keep"), F.sum("size").alias("all")).where(F.col("all") > 1)
     members = grouped.join(groups, "root").select("f", "keep")

@@ -91,3 +91,44 @@ def test_prefixes_hold_as_many_common_shingles_as_similar_texts_need(similarity)
     assert near and all(got[j, i] for i, j in near)
     # and nothing is compared with all others
     assert sum(got.values()) < 3 * len(near) + 400
+
+
+def test_shared_passages_cost_no_shuffle_of_pairs(spark, monkeypatch):
+    """Texts that share a passage, but not half of their triples, don't meet as long as half of the triples are their own, however few of the texts a sample would see."""
+    monkeypatch.setattr(links, "SAMPLE", 10, raising=False)
+    rng = np.random.default_rng(24)
+    passages = [[f"p{k}x{j}" for j in range(60)] for k in range(20)]
+    rows = [(k, " ".join([f"w{x}" for x in rng.integers(0, 1 << 40, 100)] + passages[k % 20])) for k in range(3000)]
+    rows.append((3000, rows[0][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert [(r.doc_id, r.keep_id) for r in simhash.near_duplicates(docs).collect()] == [(3000, 0)]
+    assert written() - before < sum(len(t) for _, t in rows)
+
+
+def test_counts_tell_shingles_that_occur_once():
+    rng = np.random.default_rng(25)
+    once, often = np.split(rng.choice(1 << 28, 1200, replace=False).astype(np.uint32), [1000])
+    x = np.sort(np.concatenate([once, np.repeat(often, rng.integers(2, 400, 200))])) + np.uint32(5 << 28)  # the part 5 of 16
+    hit, rank = links.counts(x, 27, 4)
+    whole = np.zeros((16, len(hit) // 8), np.uint8)
+    whole[5] = np.packbits(hit)
+    held = links._held(whole.ravel(), x)
+    repeated = np.isin(x, often + np.uint32(5 << 28))
+    assert held[repeated].all() and held[~repeated].mean() < 0.01
+    n = np.unique(x, return_counts=True)[1]
+    of = rank[(np.unique(x) >> np.uint32(32 - links.COUNT_BITS)) & np.uint32(len(rank) - 1)]
+    assert (of[n > 1] >= (4 * np.log2(n[n > 1])).astype(int)).all() and np.corrcoef(of[n > 1], np.log2(n[n > 1]))[0, 1] > 0.99
+    assert [a.sum() for a in links.counts(np.zeros(0, np.uint32), 27, 4)] == [0, 0]
+
+
+def test_packed_parts_come_back_whole():
+    rng = np.random.default_rng(26)
+    x = np.empty(5000, links._ENTRY)
+    for name in x.dtype.names:
+        x[name] = rng.integers(0, 1 << 32, len(x))
+    for runs, dtype, part in ((np.split(x, [7, 7, 4000]), links._ENTRY, lambda y: y["shingle"]), (np.split(x["shingle"].copy(), [1, 3000]), np.dtype("<u4"), lambda y: y)):
+        rows = list(links._gathered(list(links._scattered(iter(runs), 3)), dtype))
+        assert [p for p, _ in rows] == list(range(8)) and all((part(y) >> 29 == p).all() for p, y in rows)
+        assert sorted(np.concatenate([y for _, y in rows]).tolist()) == sorted(np.concatenate(runs).tolist())
