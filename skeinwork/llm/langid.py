@@ -17,6 +17,7 @@ without a name here is "und".
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -257,9 +258,11 @@ def labeller(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(STRUCT)
-    def label(col: pa.Array) -> pa.Array:
-        parts = [shared.value.label(col[i:j]).cast(ARROW) for i, j in slices(col)]
-        return pa.concat_arrays(parts) if parts else pa.array([], ARROW)
+    @lean
+    def label(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in cols:
+            parts = [shared.value.label(col[i:j]).cast(ARROW) for i, j in slices(col)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], ARROW)
 
     return label
 

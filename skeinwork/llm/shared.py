@@ -7,6 +7,7 @@ import ctypes
 import math
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +125,9 @@ def without(docs: DataFrame, id_col: str, key: Column, decided: DataFrame) -> Da
 
 
 def lean(run):
-    """run, a function of batches, which at its end gives the memory that a Python worker has freed back to the system: workers outlive their tasks."""
+    """run, a function of batches (or of arrays, if its annotations say so), which at its end gives the memory that a Python worker has freed back to the system: workers outlive their tasks."""
 
+    @wraps(run)
     def trimmed(batches):
         yield from run(batches)
         release()

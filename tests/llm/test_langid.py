@@ -1,8 +1,14 @@
+import re
+import time
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork.llm import langid
+from skeinwork.llm.shared import release
 
 
 @pytest.fixture(scope="module")
@@ -119,6 +125,23 @@ def test_scores_don_t_depend_on_blocks(model, monkeypatch):
     assert model.label(texts) == whole
 
 
+def test_workers_give_memory_back(spark, docs, model):
+    """Python workers outlive their tasks: after labelling, hardly anything is left that they could give back."""
+
+    def held(batches):
+        anon = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+        time.sleep(0.1 + 0 * sum(len(b) for b in batches))  # so that all idle workers get a task
+        before = anon()
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([before - anon()], pa.int32())], names=["mb"])
+
+    workers = spark.range(0, 16, 1, 16).mapInArrow(held, "mb int")
+    workers.collect()  # what earlier tests have left
+    texts = docs.crossJoin(spark.range(8).select(F.col("id").alias("copy"))).repartition(4)
+    assert langid.identify(texts, model).where("lang IS NOT NULL").count() == 8 * docs.count()
+    assert max(r.mb for r in workers.collect()) < 6
+
+
 def test_query(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = langid.op5_language_id(spark, small).collect()
