@@ -247,3 +247,29 @@ def test_integrity_and_metrics(spark):
     assert (m.documents, m.chunks, m.total_tokens, m.avg_chunk_tokens, m.median_chunk_tokens, m.p95_chunk_tokens, m.max_chunk_tokens, m.docs_without_headings, m.docs_without_related, m.chunks_without_related) == (2, 3, 30, 6.0, 5.0, 5, 9, 1, 1, 2)
     empty = validate.metrics(d.limit(0), c.limit(0), e.limit(0), e.limit(0)).first()
     assert empty.chunks == 0 and empty.p95_chunk_tokens == 0
+
+
+def test_best_references_are_the_first_of_all(spark):
+    """A graph of the best references is the graph of all, and a name that all texts have doesn't relate all of them on the way."""
+    none = []
+    name = lambda k: f"d{k:02}"
+    t = spark.createDataFrame([(name(k), name(k // 4), [f"{name(k)}.md"], ["REQ-1", f"REQ-{k % 3 + 2}"], none, [f"Head {k}"], none) for k in range(40)], "key string, grp string, path_aliases array<string>, identifiers array<string>, section_numbers array<string>, headings array<string>, symbols array<string>")
+    x = spark.createDataFrame([(name(k), name(k // 4), f"REQ-1 and REQ-{k % 3 + 2}, `Head {(k * 7) % 40}`, {name((k * 11) % 40)}.md") for k in range(40)] + [("e", None, "REQ-1 and d05.md")], "key string, grp string, text string")
+    lex = spark.createDataFrame([(name(k), name((k + 17) % 40), 0.5, ["t"]) for k in range(40)], "src string, dst string, score double, shared_terms array<string>")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    whole, best = references.matches(x, t), references.best(x, t, [lex])
+    assert rows(graph.fuse(whole, None, None, "chunk")) == rows(graph.fuse(references.best(x, t), None, None, "chunk"))
+    assert rows(graph.fuse(whole, lex, None, "chunk")) == rows(graph.fuse(best, lex, None, "chunk"))
+    assert whole.count() > 1500 and best.count() < 500
+
+
+def test_symbols_and_boilerplate_by_cheap_tests(spark):
+    """The cheap tests before the costly ones let through what these would."""
+    from skeinwork.functions import references as R
+    from skeinwork.functions import text as T
+
+    words = ["foo_bar", "a.b", "FooBar", "foo", "Foo", "XIV", "u.s", "e.g", "x_", "foo_bar()", "FooB", "İ.b", "king", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.w for r in df.where(R.symbol_like(R.F.col("w"))).collect()] == ["foo_bar", "FooBar", "x_", "foo_bar()", "İ.b"]
+    texts = spark.createDataFrame([("License, trademark; donate ARCHIVE",), ("licensed trademarks donate archive",), ("Project Gutenberg",), (None,)], "t string")
+    assert [r.f for r in texts.select(T.low_signal(R.F.col("t")).alias("f")).collect()] == [True, False, True, None]
