@@ -273,3 +273,23 @@ def test_symbols_and_boilerplate_by_cheap_tests(spark):
     assert [r.w for r in df.where(R.symbol_like(R.F.col("w"))).collect()] == ["foo_bar", "FooBar", "x_", "foo_bar()", "İ.b"]
     texts = spark.createDataFrame([("License, trademark; donate ARCHIVE",), ("licensed trademarks donate archive",), ("Project Gutenberg",), (None,)], "t string")
     assert [r.f for r in texts.select(T.low_signal(R.F.col("t")).alias("f")).collect()] == [True, False, True, None]
+
+
+def test_pairs_by_files(spark, monkeypatch):
+    """Whatever the files, blocks and dense terms, results are those of all pairs; candidates are counted as they would be listed."""
+    rows = [(i, f"shared{'x' * (i % 7)} common{'y' * (i % 3)} own{'z' * i} alpha beta " + "gamma " * (i % 5), str(i % 4)) for i in range(50)]
+    nodes = spark.createDataFrame(rows, "key bigint, body string, grp string")
+    v = spark.createDataFrame([(i, [float((i * k) % 11) for k in range(1, 6)], i % 3) for i in range(60)] + [(70, [0.0] * 5, 1), (71, [1.0], None)], "key bigint, v array<double>, grp int")
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (2, 2)], "a int, b int")
+    top = lexical.salient(lexical.weights(nodes))
+    F = lexical.F
+    listed = sorted(map(tuple, lexical.candidates(top).groupBy("src").agg(F.count("*"), F.sum("dst")).collect()))
+    every = lambda: [sorted(map(repr, df.collect())) for df in (lexical.relationships(nodes, 3, 0.05), semantic.neighbours(v, 3, 0.1, True), semantic.neighbours_in_groups(v, pairs, 3, 0.1))]
+    whole = every()
+    assert all(whole) and sorted(map(tuple, lexical.candidate_counts(top).collect())) == listed
+    monkeypatch.setattr(lexical, "BLOCK", 7)
+    monkeypatch.setattr(lexical, "DENSE", 3)
+    monkeypatch.setattr(lexical, "STEP", 5)
+    monkeypatch.setattr(semantic, "BLOCK", 9)
+    monkeypatch.setattr(semantic, "GROUP_BLOCK", 8)
+    assert every() == whole and sorted(map(tuple, lexical.candidate_counts(top).collect())) == listed
