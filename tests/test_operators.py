@@ -293,3 +293,35 @@ def test_pairs_by_files(spark, monkeypatch):
     monkeypatch.setattr(semantic, "BLOCK", 9)
     monkeypatch.setattr(semantic, "GROUP_BLOCK", 8)
     assert every() == whole and sorted(map(tuple, lexical.candidate_counts(top).collect())) == listed
+
+
+def test_evaluation_without_a_table_of_scores(spark, small, monkeypatch):
+    """Ranks are those that the table of all scores gives, whatever the blocks; nothing makes that table."""
+    d, c = queries._searchable(spark, small)
+    d = d.where("doc_id < 30")
+    c = c.join(d.select("full_path"), "full_path", "left_semi")
+    F = retrieval.F
+    q = queries._queries(spark, small).where("query_id < 6")
+    cases = q.select("query_id", "query", F.expr("concat('note_', query_id, case when query_id % 4 = 3 then '.txt' else '.md' end)").alias("expected_document"), F.lit(None).cast("string").alias("expected_heading"), F.expr("case when query_id % 2 = 0 then concat('docs/chunks/note_', query_id, '_001.md') end").alias("expected_chunk"), F.lit(3).alias("top_k"))
+    cs = retrieval.chunk_scores(c, q)
+    ds = retrieval.document_scores(d, q, cs, c).join(d.select(F.col("full_path").alias("key"), "original_source"), "key").select("query_id", F.col("original_source").alias("key"), "score")
+    rank = lambda found, want, names: {r.query_id: r.rank for r in retrieval.rank_of(found, cases.select("query_id", F.col(want).alias("key")), names).collect()}
+    docs = rank(ds, "expected_document", d.select(F.col("original_source").alias("key")))
+    parts = rank(cs, "expected_chunk", c.select(F.col("path").alias("key")))
+    monkeypatch.setattr(retrieval, "chunk_scores", None)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    got = {r.query_id: (r.document_rank, r.chunk_rank) for r in retrieval.evaluate(d, c, cases).collect()}
+    assert got == {k: (docs[k], parts[k]) for k in docs} and any(x for x, _ in got.values()) and any(y for _, y in got.values())
+
+
+def test_columns_by_slices(monkeypatch):
+    """A function sees a few rows of a batch at a time."""
+    import pyarrow as pa
+
+    from skeinwork.functions import arrow
+
+    monkeypatch.setattr(arrow, "SLICE", 3)
+    seen = []
+    got = arrow.by_slices(lambda a, b: seen.append(len(a)) or [None if x is None else x * y for x, y in zip(a, b)], pa.int64(), pa.array([1, None, 3, 4]), pa.array([5, 6, 7, 8]))
+    assert got.to_pylist() == [5, None, 21, 32] and seen == [3, 1]
+    assert arrow.by_slices(list, pa.string(), pa.array([], pa.string())).to_pylist() == []
