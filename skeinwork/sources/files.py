@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import markdown as M
 from ..functions import pdf as P
 from ..functions import text as X
+from ..functions.arrow import by_slices
 from ..operators.chunking import counted, estimate
 from . import docx, html, pdf
 
@@ -132,8 +133,8 @@ def documents(files: DataFrame, count=estimate, encoding: str = X.ESTIMATE, pdf_
 
     @F.arrow_udf(DOCUMENT)
     def run(extension: pa.Array, stem: pa.Array, data: pa.Array) -> pa.Array:
-        rows = [registered[e](d, s) for e, s, d in zip(extension.to_pylist(), stem.to_pylist(), data.to_pylist())]
-        return pa.array([{"pages": None} | r for r in rows], _ARROW)
+        rows = lambda *some: [{"pages": None} | registered[e](d, s) for e, s, d in zip(*some)]
+        return by_slices(rows, _ARROW, extension, stem, data)
 
     a = placed.where(text_like).select("original_source", "out_rel", "extension", native.alias("d")).select("original_source", "out_rel", "extension", "d.*", F.lit(None).cast("int").alias("pages"))
     b = placed.where(~text_like).select("original_source", "out_rel", "extension", run("extension", "stem", "data").alias("d")).select("original_source", "out_rel", "extension", "d.*")
